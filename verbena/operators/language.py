@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from verbena.functions.text import MASK, is_one_of
 from verbena.operators.joins import hot_key_join
+from verbena.session import written
 
 START = ""  # stands before the first token; no token is empty
 MU = 10.0
@@ -259,7 +260,7 @@ def cloze_scores(
     part: str,
     mu: float = MU,
 ) -> DataFrame:
-    """Add ``scores``: (candidate, score) for each slot, summing to one.
+    """Add ``scores``: one per candidate in the order of the alphabet, summing to one.
 
     The score is p(w | left) p(right | w) over the candidates; a neighbour that is
     hidden or absent tells nothing. Each left word and each right word gets one array
@@ -269,53 +270,46 @@ def cloze_scores(
     listed = sorted(set(candidates))
     n, p, context = f"n_{part}", f"p_{part}", f"context_{part}"
 
-    def by_candidate(of: str, value: str) -> Column:
-        """One aggregate per candidate, zero where the candidate does not occur."""
-        return F.array(
-            *[F.coalesce(F.max(F.when(F.col(of) == w, F.col(value))), F.lit(0)) for w in listed]
-        )
+    place = F.create_map(*[F.lit(x) for i, w in enumerate(listed) for x in (w, i)])
+    places = F.lit(list(range(len(listed))))
+
+    def by_place(of: str, value: str) -> Column:
+        """Map from a candidate's place to its value: at most one entry per candidate."""
+        return F.map_from_entries(F.collect_list(F.struct(place[F.col(of)], F.col(value))))
+
+    def dense(sparse: Column) -> Column:
+        return F.transform(places, lambda i: F.coalesce(sparse[i].cast("double"), F.lit(0.0)))
 
-    own = F.struct(
-        words.filter(is_one_of(F.col("token"), listed))
-        .agg(by_candidate("token", p).alias("p"))
-        .scalar()
-        .alias("p"),
-        contexts.filter(is_one_of(F.col("prev"), listed))
-        .agg(by_candidate("prev", context).alias("context"))
-        .scalar()
-        .alias("context"),
+    own_words = words.filter(is_one_of(F.col("token"), listed))
+    own_contexts = contexts.filter(is_one_of(F.col("prev"), listed))
+    unigrams = own_words.agg(by_place("token", p).alias("m")).select(dense(F.col("m"))).scalar()
+    own_context = (
+        own_contexts.agg(by_place("prev", context).alias("m")).select(dense(F.col("m"))).scalar()
     )
     followers = (
         pairs.filter(is_one_of(F.col("token"), listed) & (F.col("prev") != START))
         .groupBy(F.col("prev").alias("_left"))
-        .agg(by_candidate("token", n).alias("_n"))
+        .agg(by_place("token", n).alias("_n"))
     )
     leaders = (
         pairs.filter(is_one_of(F.col("prev"), listed))
         .groupBy(F.col("token").alias("_right"))
-        .agg(by_candidate("prev", n).alias("_n"))
+        .agg(by_place("prev", n).alias("_n"))
     )
-
-    def count(i: int) -> Column:
-        return F.coalesce(F.col("_n")[i], F.lit(0))
-
-    places = range(len(listed))
     lefts = (
         slots.filter(~_hidden("left"))
         .groupBy(F.col("left").alias("_left"))
         .agg(F.count("*").alias("_degree"))
         .join(contexts.select(F.col("prev").alias("_left"), context), "_left", "left")
         .join(followers, "_left", "left")
-        .withColumn("_own", own)
+        .withColumn("_own", unigrams)
         .select(
             "_left",
             "_degree",
-            F.array(
-                *[
-                    (count(i) + mu * F.col("_own.p")[i])
-                    / (F.coalesce(F.col(context), F.lit(0)) + mu)
-                    for i in places
-                ]
+            F.zip_with(
+                dense(F.col("_n")),
+                "_own",
+                lambda c, u: (c + mu * u) / (F.coalesce(F.col(context), F.lit(0)) + mu),
             ).alias("_from_left"),
         )
     )
@@ -325,52 +319,40 @@ def cloze_scores(
         .agg(F.count("*").alias("_degree"))
         .join(words.select(F.col("token").alias("_right"), p), "_right")
         .join(leaders, "_right", "left")
-        .withColumn("_own", own)
+        .withColumn("_own", own_context)
         .select(
             "_right",
             "_degree",
-            F.array(
-                *[
-                    (count(i) + mu * F.col(p)) / (F.col("_own.context")[i] + mu)
-                    for i in places
-                ]
+            F.zip_with(
+                dense(F.col("_n")), "_own", lambda c, of: (c + mu * F.col(p)) / (of + mu)
             ).alias("_to_right"),
         )
     )
     sided = slots.withColumn("_left", F.when(~_hidden("left"), F.col("left"))).withColumn(
         "_right", F.when(~_hidden("right"), F.col("right"))
     )
-    near = hot_key_join(sided, lefts, ["_left"], "_degree", slots.columns)
-    both = hot_key_join(near, rights, ["_right"], "_degree", slots.columns)
-    raw = both.withColumn("_own", own).select(
-        *slots.columns,
-        F.array(
-            *[
-                F.coalesce(F.col("_from_left")[i], F.col("_own.p")[i])
-                * F.coalesce(F.col("_to_right")[i], F.lit(1.0))
-                for i in places
-            ]
-        ).alias("_raw"),
+    near = hot_key_join(sided, written(lefts, "lefts"), ["_left"], "_degree", slots.columns)
+    both = hot_key_join(near, written(rights, "rights"), ["_right"], "_degree", slots.columns)
+    from_left = F.coalesce("_from_left", unigrams)
+    raw = F.when(F.col("_to_right").isNull(), from_left).otherwise(
+        F.zip_with(from_left, "_to_right", lambda a, b: a * b)
+    )
+    summed = both.select(*slots.columns, raw.alias("_raw")).withColumn(
+        "_sum", F.aggregate("_raw", F.lit(0.0), lambda total, x: total + x)
     )
-    summed = raw.withColumn("_sum", reduce(Column.__add__, [F.col("_raw")[i] for i in places]))
     return summed.select(
         *slots.columns,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(w).alias("candidate"),
-                    (F.col("_raw")[i] / F.col("_sum")).alias("score"),
-                )
-                for i, w in enumerate(listed)
-            ]
-        ).alias("scores"),
+        F.transform("_raw", lambda x: x / F.col("_sum")).alias("scores"),
     )
 
 
-def cloze_candidates(scored: DataFrame) -> DataFrame:
+def cloze_candidates(scored: DataFrame, candidates: list[str]) -> DataFrame:
     """One row per slot and candidate."""
     kept = [c for c in scored.columns if c != "scores"]
-    return scored.select(*kept, F.inline("scores"))
+    named = F.arrays_zip(
+        F.lit(sorted(set(candidates))).alias("candidate"), F.col("scores").alias("score")
+    )
+    return scored.select(*kept, F.inline(named))
 
 
 def masked_loss(
@@ -378,5 +360,5 @@ def masked_loss(
 ) -> DataFrame:
     """Mean -ln p of the hidden word, over hidden positions only."""
     place = F.array_position(F.lit(sorted(set(candidates))), F.col("target")).cast("int")
-    logp = scored.withColumn("logp", F.ln(F.element_at("scores", place)["score"]))
+    logp = scored.withColumn("logp", F.ln(F.element_at("scores", place)))
     return lm_loss(logp, by, count=F.col(count)).withColumnRenamed("tokens", "slots")

@@ -434,7 +434,7 @@ def cloze_of_documents(
 )
 def cloze_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = cloze_of_documents(spark, sf_dir, STAND_INS["own_c"], [])
-    return cloze_candidates(scored).withColumn("score", F.round("score", 8))
+    return cloze_candidates(scored, STAND_INS["own_c"]).withColumn("score", F.round("score", 8))
 
 
 @query(

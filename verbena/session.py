@@ -17,6 +17,8 @@ def build_session(cores: str | int = "*", **settings: str) -> SparkSession:
         .appName("verbena")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Few bytes can be much work (arrays, hashes): keep all cores busy on small data.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
