@@ -333,11 +333,11 @@ def cloze_scores(
     )
     near = hot_key_join(sided, written(lefts, "lefts"), ["_left"], "_degree", slots.columns)
     both = hot_key_join(near, written(rights, "rights"), ["_right"], "_degree", slots.columns)
-    from_left = F.coalesce("_from_left", unigrams)
-    raw = F.when(F.col("_to_right").isNull(), from_left).otherwise(
-        F.zip_with(from_left, "_to_right", lambda a, b: a * b)
+    raw = F.when(F.col("_to_right").isNull(), F.col("_from_left")).otherwise(
+        F.zip_with("_from_left", "_to_right", lambda a, b: a * b)
     )
-    summed = both.select(*slots.columns, raw.alias("_raw")).withColumn(
+    known = both.withColumn("_from_left", F.coalesce("_from_left", unigrams))
+    summed = known.select(*slots.columns, raw.alias("_raw")).withColumn(
         "_sum", F.aggregate("_raw", F.lit(0.0), lambda total, x: total + x)
     )
     return summed.select(
