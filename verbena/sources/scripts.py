@@ -36,20 +36,21 @@ def parse_run_scripts(scripts: DataFrame, run: str, text: str = "text") -> DataF
     )
 
 
-def read_run_configs(spark: SparkSession, path: str) -> DataFrame:
-    """The option table of all job scripts below a folder; run_id is the file name."""
+def read_run_configs(
+    spark: SparkSession, path: str, files: str = "*.sh", name: str = r"([^/]+)\.sh$"
+) -> DataFrame:
+    """The option table of all job scripts below a folder.
+
+    run_id is the part of the path that ``name`` picks, by default the file name.
+    """
+    in_path = F.regexp_extract("_metadata.file_path", name, 1)
     scripts = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.sh")
+        .option("pathGlobFilter", files)
         .text(path, wholetext=True)
         .select(
-            F.url_decode(
-                F.replace(
-                    F.regexp_extract("_metadata.file_path", r"([^/]+)\.sh$", 1),
-                    F.lit("+"),
-                    F.lit("%2B"),
-                )
-            ).alias("run_id"),
+            # A plus sign stays one; only percent codes are decoded.
+            F.url_decode(F.replace(in_path, F.lit("+"), F.lit("%2B"))).alias("run_id"),
             F.col("value").alias("text"),
         )
     )
