@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbena.operators.ordering import hash_rank
+from verbena.session import written
 
 # The coordinates of the planned grid of runs.
 MODELS = [
@@ -45,7 +46,7 @@ def expand_grid(spark: SparkSession, dims: dict[str, list | DataFrame]) -> DataF
     sizes, levels = {}, {}
     for name, values in dims.items():
         if isinstance(values, DataFrame):
-            distinct = values.select(F.col(values.columns[0]).alias(name)).distinct()
+            distinct = written(values.select(F.col(values.columns[0]).alias(name)).distinct(), name)
             marked = distinct.withColumn("_all", F.lit(0)).withColumn(
                 "_hash", F.md5(F.col(name).cast("string"))
             )

@@ -70,22 +70,29 @@ def unseen_words(test: DataFrame, train: DataFrame, word: str = "word") -> DataF
 def lexicon_coverage(
     tokens: DataFrame, lexicons: dict[str, list[str]], dataset: str = "dataset"
 ) -> DataFrame:
-    """Hits per data set, list and word, zero rows included."""
+    """Hits per data set, list and word, zero rows included.
+
+    One pass over the tokens: they are counted by data set and listed word, then the
+    counts of a data set, at most one per listed word, are read off by word.
+    """
     entries = F.array(
         *[
-            F.struct(F.lit(name).alias("lexicon"), F.lit(w).alias("token"))
+            F.struct(F.lit(name).alias("lexicon"), F.lit(w).alias("word"))
             for name, words in lexicons.items()
             for w in words
         ]
     )
-    wanted = is_one_of(F.col("token"), distinct_words(lexicons))
-    # One pass: every data set shows up through its tokens, hit or not.
-    counts = tokens.groupBy(dataset, F.when(wanted, F.col("token")).alias("token")).agg(
-        F.count("*").alias("hits")
+    listed = is_one_of(F.col("token"), distinct_words(lexicons))
+    counts = tokens.groupBy(dataset, F.when(listed, F.col("token")).alias("_word")).agg(
+        F.count("*").alias("_hits")
     )
-    expected = counts.select(dataset).distinct().select(dataset, F.inline(entries))
-    return expected.join(counts, [dataset, "token"], "left").select(
-        dataset, "lexicon", F.col("token").alias("word"), F.coalesce("hits", F.lit(0)).alias("hits")
+    found = F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("_word", "_hits")))
+    by_word = counts.groupBy(dataset).agg(F.map_from_entries(found).alias("_found"))
+    return by_word.select(dataset, "_found", F.inline(entries)).select(
+        dataset,
+        "lexicon",
+        "word",
+        F.coalesce(F.col("_found")[F.col("word")], F.lit(0)).alias("hits"),
     )
 
 

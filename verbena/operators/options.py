@@ -55,21 +55,27 @@ def nest_options(
 ) -> DataFrame:
     """The reverse: one JSON object per run, its fields in the order of their names.
 
-    The deepest fields are folded into their parent first, so what a task gathers at
-    once is the fields of one object. A key must be unique in its run.
+    With a ``pos`` column, a key with several values becomes a list; without one, a key
+    must be unique in its run. The deepest fields are folded into their parent first, so
+    what a task gathers at once is the values of one key or the fields of one object.
     """
-    rows = options.select(
-        *keys,
-        F.split("key", r"\.").alias("_path"),
-        F.to_json(F.struct(F.col("value").alias("v"))).alias("_wrapped"),
-    ).select(
-        *keys,
-        "_path",
-        # The JSON text of one string, taken out of {"v":"..."}; a flag has none.
-        F.when(F.col("_wrapped") == "{}", "null")
-        .otherwise(F.expr("substring(_wrapped, 6, length(_wrapped) - 6)"))
-        .alias("_json"),
+    # The JSON text of one string is taken out of {"v":"..."}; a missing value has none.
+    wrapped = F.to_json(F.struct(F.col("value").alias("v")))
+    rows = options.withColumn(
+        "_json",
+        F.when(F.col("value").isNull(), "null").otherwise(
+            F.regexp_extract(wrapped, r'(?s)^\{"v":(.*)\}$', 1)
+        ),
     )
+    if "pos" in options.columns:
+        ordered = F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", "_json"))), lambda e: e["_json"]
+        )
+        listed = F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]"))
+        rows = rows.groupBy(*keys, "key").agg(
+            F.when(F.count("*") == 1, F.max("_json")).otherwise(listed).alias("_json")
+        )
+    rows = rows.select(*keys, F.split("key", r"\.").alias("_path"), "_json")
     for depth in range(max_depth, 0, -1):
         deep = F.size("_path") >= depth
         parent = F.when(deep, F.slice("_path", 1, depth - 1)).otherwise(F.col("_path"))

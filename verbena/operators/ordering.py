@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verbena.session import checkpointed
+from verbena.session import written
 
 
 @dataclass(frozen=True)
@@ -114,8 +114,8 @@ def hash_rank(
 def value_chunks(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Add ``_chunk``: range partitions of (keys, order), for any orderable value.
 
-    Range bounds come from a sample, so they are fixed in a reliable checkpoint
-    before anything is counted by them. ``order`` should end in a unique column.
+    Range bounds come from a sample, so the chunks are fixed in a written table before
+    anything is counted by them. ``order`` should end in a unique column.
     """
     ranged = df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id())
-    return checkpointed(ranged)
+    return written(ranged, "ranges")

@@ -45,8 +45,6 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
         named = tempfile.mkdtemp(prefix="verbena-")
         spark.conf.set(CHECKPOINT_KEY, named)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
     return named
 
 
@@ -67,12 +65,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out over the cores when the input has fewer files than cores.
 
