@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from verbena.operators import joins
 from verbena.operators.language import (
     adapt_lm,
     cloze_candidates,
@@ -76,7 +77,15 @@ def test_unigram_is_add_one_and_sums_to_one(model):
         assert sum(r[f"p_{part}"] for r in words.values()) == pytest.approx(1)
 
 
-def test_bigram_equals_plain_python(model):
+@pytest.fixture(params=["broadcast", "hot keys"])
+def join_path(request, monkeypatch):
+    """Each lookup once as for a small table and once as for a large one."""
+    if request.param == "hot keys":
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(joins, "HOT_KEYS", 2)
+
+
+def test_bigram_equals_plain_python(model, join_path):
     for r in fit_bigram(*model, PARTS).collect():
         for part in PARTS:
             assert r[f"p_{part}"] == pytest.approx(brute(part)[2](r.prev, r.token))
@@ -89,7 +98,7 @@ def test_chances_after_a_word_sum_to_one(part):
         assert sum(after(prev, w) for w in vocabulary) == pytest.approx(1)
 
 
-def test_scored_tokens(model, near):
+def test_scored_tokens(model, near, join_path):
     scored = fit_bigram(*model, PARTS).select(
         "prev", "token", (F.col("n_train") + F.col("n_base")).alias("n"), F.ln("p_base").alias("logp")
     )
@@ -171,7 +180,7 @@ def test_counts_add_up(near):
     assert whole.exceptAll(merged_counts(halves, ["token"], PARTS)).count() == 0
 
 
-def test_cloze_equals_plain_python(spark, model):
+def test_cloze_equals_plain_python(spark, model, join_path):
     texts = spark.createDataFrame(TEXTS, "doc_id long, part string, text string")
     listed = ["cat", "dog", "the", "unheard"]
     pairs, _, contexts = model

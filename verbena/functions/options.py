@@ -14,9 +14,8 @@ def unquoted(value: Column) -> Column:
     return F.regexp_replace(without_double, r"^'(.*)'$", "$1")
 
 
-def value_kind(value: Column) -> Column:
-    """flag, boolean, integer, decimal or text."""
-    plain = unquoted(value)
+def value_kind(value: Column, plain: Column) -> Column:
+    """flag, boolean, integer, decimal or text; ``plain`` is the value without quotes."""
     return (
         F.when(value.isNull(), "flag")
         .when(value.startswith('"'), "text")

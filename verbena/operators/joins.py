@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
+BROADCAST_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame, width: int = 1) -> bool:
+    """Whether a written table, of ``width`` values a row, may be broadcast whole."""
+    return df.count() * width <= BROADCAST_ROWS
 
 
 def hot_key_join(
@@ -43,3 +49,29 @@ def hot_key_join(
     return joined.withColumn("_found", F.coalesce("_hot", "_cold")).select(
         *left.columns, *[F.col(f"_found.{v}").alias(v) for v in values]
     )
+
+
+def lookup(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    salt: list[str],
+    degree: str | None = None,
+    width: int = 1,
+) -> DataFrame:
+    """Left join to a written table with one row per key.
+
+    A table that is small by its row count is broadcast, and no row of ``left`` moves.
+    Any other goes through ``hot_key_join``; the degrees are counted unless ``right``
+    has them.
+    """
+    values = [c for c in right.columns if c not in (*on, degree)]
+    if is_small(right, width):
+        return left.join(F.broadcast(right.select(*on, *values)), on, "left").select(
+            *left.columns, *values
+        )
+    if degree is None:
+        degree = "_degree"
+        held = left.groupBy(*on).agg(F.count("*").alias(degree))
+        right = right.join(held, on)
+    return hot_key_join(left, right, on, degree, salt, values)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbena.functions.text import MASK, is_one_of
-from verbena.operators.joins import hot_key_join
+from verbena.operators.joins import lookup
 from verbena.session import written
 
 START = ""  # stands before the first token; no token is empty
@@ -103,22 +103,14 @@ def fit_bigram(
     """Add p_<part>: the chance of ``token`` after ``prev``, smoothed towards the unigram.
 
     A pair a part has not seen falls back on its unigram, as the count is zero. Frequent
-    words stand in very many pairs, hence the joins that split hot keys.
+    words stand in very many pairs, hence the lookups that split hot keys. ``words`` and
+    ``contexts`` should be written tables.
     """
-    followers = (
-        pairs.groupBy("token")
-        .agg(F.count("*").alias("_degree"))
-        .join(words.select("token", *[F.col(f"p_{p}").alias(f"_p_{p}") for p in parts]), "token")
-    )
-    leaders = (
-        pairs.filter(F.col("prev") != START)
-        .groupBy(F.col("prev").alias("_leader"))
-        .agg(F.count("*").alias("_degree"))
-        .join(contexts.withColumnRenamed("prev", "_leader"), "_leader")
-    )
+    unigrams = words.select("token", *[F.col(f"p_{p}").alias(f"_p_{p}") for p in parts])
+    leaders = contexts.withColumnRenamed("prev", "_leader")
     started = pairs.withColumn("_leader", F.when(F.col("prev") != START, F.col("prev")))
-    near = hot_key_join(started, leaders, ["_leader"], "_degree", ["prev", "token"])
-    both = hot_key_join(near, followers, ["token"], "_degree", ["prev", "token"])
+    near = lookup(started, leaders, ["_leader"], ["prev", "token"])
+    both = lookup(near, unigrams, ["token"], ["prev", "token"])
     inner = F.col("_leader").isNotNull()
     return both.select(
         *pairs.columns,
@@ -150,10 +142,11 @@ def adapt_lm(
 def score_tokens(near: DataFrame, scored: DataFrame, keys: list[str], degree: str) -> DataFrame:
     """Give every token the values of its (prev, token) pair.
 
-    Each distinct pair is scored once; ``degree`` in ``scored`` counts its tokens.
+    Each distinct pair is scored once, in a written table; ``degree`` there counts the
+    tokens that are this pair.
     """
     started = near.withColumn("prev", F.coalesce("prev", F.lit(START)))
-    return hot_key_join(started, scored, ["prev", "token"], degree, [*keys, "pos"])
+    return lookup(started, scored, ["prev", "token"], [*keys, "pos"], degree)
 
 
 def lm_loss(
@@ -331,8 +324,9 @@ def cloze_scores(
     sided = slots.withColumn("_left", F.when(~_hidden("left"), F.col("left"))).withColumn(
         "_right", F.when(~_hidden("right"), F.col("right"))
     )
-    near = hot_key_join(sided, written(lefts, "lefts"), ["_left"], "_degree", slots.columns)
-    both = hot_key_join(near, written(rights, "rights"), ["_right"], "_degree", slots.columns)
+    salt, width = slots.columns, len(listed)
+    near = lookup(sided, written(lefts, "lefts"), ["_left"], salt, "_degree", width)
+    both = lookup(near, written(rights, "rights"), ["_right"], salt, "_degree", width)
     raw = F.when(F.col("_to_right").isNull(), F.col("_from_left")).otherwise(
         F.zip_with("_from_left", "_to_right", lambda a, b: a * b)
     )

@@ -98,19 +98,18 @@ def nest_options(
 
 def coerce_option(options: DataFrame, value: str = "value") -> DataFrame:
     """Add kind and the typed value: as_boolean, as_integer, as_decimal, as_text."""
-    kind = value_kind(F.col(value))
-    plain = unquoted(F.col(value))
-    typed = options.withColumn("kind", kind)
+    plain = F.col("_plain")
+    kind = F.col("kind")
+    typed = options.withColumn("_plain", unquoted(F.col(value))).withColumn(
+        "kind", value_kind(F.col(value), plain)
+    )
     return typed.select(
-        "*",
-        F.when(F.col("kind") == "flag", F.lit(True))
-        .when(F.col("kind") == "boolean", plain == "True")
-        .alias("as_boolean"),
-        F.when(F.col("kind") == "integer", plain.try_cast("bigint")).alias("as_integer"),
-        F.when(F.col("kind").isin("integer", "decimal"), plain.try_cast("double")).alias(
-            "as_decimal"
-        ),
-        F.when(F.col("kind") == "text", plain).alias("as_text"),
+        *options.columns,
+        "kind",
+        F.when(kind == "flag", True).when(kind == "boolean", plain == "True").alias("as_boolean"),
+        F.when(kind == "integer", plain.try_cast("bigint")).alias("as_integer"),
+        F.when(kind.isin("integer", "decimal"), plain.try_cast("double")).alias("as_decimal"),
+        F.when(kind == "text", plain).alias("as_text"),
     )
 
 

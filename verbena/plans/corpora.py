@@ -209,54 +209,54 @@ def batches_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT t.doc_id, p.epoch, t.pos, t.token,
              CASE WHEN (p.epoch + p.batch) % 2 = 0 THEN 'decoder' ELSE 'encoder' END AS mode
       FROM tok t JOIN placed p ON p.doc_id = t.doc_id)
-    SELECT doc_id, epoch, mode, count(*) AS tokens,
-           count(*) FILTER (token IN ({words_of('own_b')}) AND mode = 'encoder') AS masked,
-           md5(string_agg(CASE WHEN token IN ({words_of('own_b')}) AND mode = 'encoder'
-                               THEN '[MASK]' ELSE token END, ' ' ORDER BY pos)) AS text_md5
-    FROM seen GROUP BY ALL""",
+    SELECT doc_id, epoch, mode, count(*) AS tokens, count(*) FILTER (hit) AS masked,
+           coalesce(sum(pos) FILTER (hit), 0)::BIGINT AS places,
+           sum(CASE WHEN hit THEN 6 ELSE length(token) END)::BIGINT AS letters
+    FROM (SELECT *, token IN ({words_of('own_b')}) AND mode = 'encoder' AS hit FROM seen)
+    GROUP BY ALL""",
 )
 def masked_in_encoder_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     modes = alternate_modes(batches_of_documents(spark, sf_dir))
     texts = documents(spark, sf_dir).join(modes, "doc_id")
-    tokens = tokenize(texts, ["doc_id", "epoch", "mode"])
-    masked = mask_if_encoder(tokens, lambda t: mask_word_tokens(t, STAND_INS["own_b"]))
     keys = ["doc_id", "epoch", "mode"]
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    masked = mask_if_encoder(
+        tokenize(texts, keys), lambda tokens: mask_word_tokens(tokens, STAND_INS["own_b"])
+    )
     return masked.groupBy(*keys).agg(
         F.count("*").alias("tokens"),
         F.count_if("masked").alias("masked"),
-        F.md5(F.array_join(F.transform(ordered, lambda at: at["token"]), " ")).alias("text_md5"),
+        F.sum(F.when(F.col("masked"), F.col("pos")).otherwise(0)).alias("places"),
+        F.sum(F.length("token")).alias("letters"),
     )
 
 
-@query(
-    "redraw_masks",
-    f"""WITH {TOK}, {PLACED}, seen AS (
-      SELECT t.doc_id, p.epoch, t.pos,
-             md5('{SEED}:' || p.epoch || ':' || p.batch || ':' || t.doc_id || ':' || t.pos)
-               < '26666666' AS per_batch,
-             md5('{SEED}:' || t.doc_id || ':' || t.pos) < '26666666' AS once
+def sql_redraw(key: str) -> str:
+    return f"""WITH {TOK}, {PLACED}, seen AS (
+      SELECT t.doc_id, p.epoch, t.pos, md5({key} || t.doc_id || ':' || t.pos) < '26666666' AS hit
       FROM tok t JOIN placed p ON p.doc_id = t.doc_id)
-    SELECT doc_id, epoch, 'per_batch' AS strategy, count(*) FILTER (per_batch) AS masked,
-           coalesce(sum(pos) FILTER (per_batch), 0)::BIGINT AS places
-    FROM seen GROUP BY doc_id, epoch
-    UNION ALL
-    SELECT doc_id, epoch, 'once', count(*) FILTER (once),
-           coalesce(sum(pos) FILTER (once), 0)::BIGINT
-    FROM seen GROUP BY doc_id, epoch""",
-)
-def masks_drawn_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    SELECT doc_id, epoch, count(*) FILTER (hit) AS masked,
+           coalesce(sum(pos) FILTER (hit), 0)::BIGINT AS places
+    FROM seen GROUP BY doc_id, epoch"""
+
+
+def redrawn(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
     texts = documents(spark, sf_dir).join(batches_of_documents(spark, sf_dir), "doc_id")
     tokens = tokenize(texts, ["doc_id", "epoch", "batch"])
+    masked = redraw_masks(tokens, "doc_id", SEED, strategy)
+    return masked.groupBy("doc_id", "epoch").agg(
+        F.count_if("masked").alias("masked"),
+        F.sum(F.when(F.col("masked"), F.col("pos")).otherwise(0)).alias("places"),
+    )
+
+
+@query("redraw_masks", sql_redraw(f"'{SEED}:' || p.epoch || ':' || p.batch || ':'"))
+def masks_drawn_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redrawn(spark, sf_dir, "per_batch")
 
-    def drawn_by(strategy: str) -> DataFrame:
-        masked = redraw_masks(tokens, "doc_id", SEED, strategy)
-        return masked.groupBy("doc_id", "epoch", F.lit(strategy).alias("strategy")).agg(
-            F.count_if("masked").alias("masked"),
-            F.sum(F.when(F.col("masked"), F.col("pos")).otherwise(0)).alias("places"),
-        )
 
-    return drawn_by("per_batch").unionByName(drawn_by("once"))
+@query("redraw_masks_once", sql_redraw(f"'{SEED}:'"))
+def masks_drawn_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redrawn(spark, sf_dir, "once")
 
 
 @query(

@@ -237,7 +237,8 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = parse_run_name(scripts.select("o_orderkey", "run_name"), "run_name").select(
         "o_orderkey", F.col("name_model").alias("model"), F.col("name_seed").alias("seed")
     )
-    options = coerce_option(parse_run_scripts(scripts, "o_orderkey"))
+    options = parse_run_scripts(scripts, "o_orderkey")
+    options = coerce_option(options.filter(F.col("key").isin("model_name_or_path", "seed")))
     content = options.groupBy("o_orderkey").agg(
         F.max(F.when(F.col("key") == "model_name_or_path", F.col("as_text"))).alias("model"),
         F.max(F.when(F.col("key") == "seed", F.col("as_integer"))).alias("seed"),

@@ -9,7 +9,7 @@ COMMENT = r"`#[^`]*`"
 CONTINUATION = r"\\\r?\n\s*"
 COMMAND = r"(?m)^python\s+\S+[ \t]*(.*)$"
 # An option: its key, then all words up to the next option.
-OPTION = r"--([A-Za-z_][\w.]*)((?:\s+(?:\"[^\"]*\"|(?!--)[^\s\"]+))*)"
+OPTION = r"--[A-Za-z_][\w.]*(?:\s+(?:\"[^\"]*\"|(?!--)[^\s\"]+))*"
 WORD = r"\"[^\"]*\"|[^\s\"]+"
 
 
@@ -22,18 +22,17 @@ def parse_run_scripts(scripts: DataFrame, run: str, text: str = "text") -> DataF
     joined = F.regexp_replace(F.regexp_replace(text, COMMENT, " "), CONTINUATION, " ")
     command = scripts.select(run, F.regexp_extract(joined, COMMAND, 1).alias("_args"))
     options = command.select(
-        run,
-        F.inline(
-            F.arrays_zip(
-                F.regexp_extract_all("_args", F.lit(OPTION), F.lit(1)).alias("key"),
-                F.regexp_extract_all("_args", F.lit(OPTION), F.lit(2)).alias("_rest"),
-            )
-        ),
+        run, F.explode(F.regexp_extract_all("_args", F.lit(OPTION), F.lit(0))).alias("_option")
     )
-    words = F.regexp_extract_all("_rest", F.lit(WORD), F.lit(0))
-    return options.select(run, "key", F.posexplode_outer(words).alias("pos", "value")).select(
-        run, "key", F.coalesce("pos", F.lit(0)).alias("pos"), "value"
+    words = options.select(
+        run, F.regexp_extract_all("_option", F.lit(WORD), F.lit(0)).alias("_words")
     )
+    values = F.slice("_words", F.lit(2), F.size("_words"))
+    return words.select(
+        run,
+        F.substr(F.col("_words")[0], F.lit(3)).alias("key"),
+        F.posexplode_outer(values).alias("pos", "value"),
+    ).select(run, "key", F.coalesce("pos", F.lit(0)).alias("pos"), "value")
 
 
 def read_run_configs(
