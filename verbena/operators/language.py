@@ -253,9 +253,9 @@ def cloze_scores(
     part: str,
     mu: float = MU,
 ) -> DataFrame:
-    """Add ``scores``: one per candidate in the order of the alphabet, summing to one.
+    """Add ``scores``, one per candidate in the order of the alphabet, and their ``total``.
 
-    The score is p(w | left) p(right | w) over the candidates; a neighbour that is
+    The score is p(w | left) p(right | w), to be divided by the total; a neighbour that is
     hidden or absent tells nothing. Each left word and each right word gets one array
     over the candidates, and slots multiply two arrays: no row per slot and candidate
     is joined. ``words`` must hold the candidates and the words around the slots.
@@ -331,22 +331,21 @@ def cloze_scores(
         F.zip_with("_from_left", "_to_right", lambda a, b: a * b)
     )
     known = both.withColumn("_from_left", F.coalesce("_from_left", unigrams))
-    summed = known.select(*slots.columns, raw.alias("_raw")).withColumn(
-        "_sum", F.aggregate("_raw", F.lit(0.0), lambda total, x: total + x)
-    )
-    return summed.select(
-        *slots.columns,
-        F.transform("_raw", lambda x: x / F.col("_sum")).alias("scores"),
+    # Dividing here would put the sum into the lambda and add up anew for every score.
+    return known.select(*slots.columns, raw.alias("scores")).withColumn(
+        "total", F.aggregate("scores", F.lit(0.0), lambda total, x: total + x)
     )
 
 
 def cloze_candidates(scored: DataFrame, candidates: list[str]) -> DataFrame:
-    """One row per slot and candidate."""
-    kept = [c for c in scored.columns if c != "scores"]
+    """One row per slot and candidate; the scores of a slot sum to one."""
+    kept = [c for c in scored.columns if c not in ("scores", "total")]
     named = F.arrays_zip(
         F.lit(sorted(set(candidates))).alias("candidate"), F.col("scores").alias("score")
     )
-    return scored.select(*kept, F.inline(named))
+    return scored.select(*kept, "total", F.inline(named)).select(
+        *kept, "candidate", (F.col("score") / F.col("total")).alias("score")
+    )
 
 
 def masked_loss(
@@ -354,5 +353,6 @@ def masked_loss(
 ) -> DataFrame:
     """Mean -ln p of the hidden word, over hidden positions only."""
     place = F.array_position(F.lit(sorted(set(candidates))), F.col("target")).cast("int")
-    logp = scored.withColumn("logp", F.ln(F.element_at("scores", place)))
+    chance = F.element_at("scores", place) / F.col("total")
+    logp = scored.withColumn("logp", F.ln(chance))
     return lm_loss(logp, by, count=F.col(count)).withColumnRenamed("tokens", "slots")
