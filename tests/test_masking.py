@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from verbena.operators import joins
 from verbena.functions.text import share_threshold, tokens_of
 from verbena.operators.lexicons import (
     LEXICONS,
@@ -80,7 +81,10 @@ def test_overlapping_lists_hide_a_word_once(text):
     assert masked.filter("target = 'it'").count() == 1
 
 
-def test_list_and_table_agree(spark, sf_dir):
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_list_and_table_agree(spark, sf_dir, monkeypatch, rows):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(joins, "HOT_KEYS", 2)
     tokens = tokenize(read(spark, sf_dir, "documents"), ["doc_id"])
     words = STAND_INS["own_a"] + STAND_INS["own_a"]
     table = spark.createDataFrame([(w,) for w in words], "word string")

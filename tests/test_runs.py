@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from verbena.operators import joins
 from verbena.operators.corpus import assign_role, parse_dataset_name
 from verbena.operators.grid import (
     MODELS,
@@ -30,11 +31,20 @@ from verbena.operators.trials import (
     latest_trial_state,
     log_uniform_trials,
     prune_trials,
+    range_scores,
     signed_rank,
     trial_budget,
 )
 
 
+@pytest.fixture(params=["broadcast", "hot keys"])
+def join_path(request, monkeypatch):
+    """Each lookup once as for a small table and once as for a large one."""
+    if request.param == "hot keys":
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(joins, "HOT_KEYS", 2)
+
+
 def test_modes(spark):
     rows = [(e, b) for e in range(2) for b in range(3)]
     df = alternate_modes(spark.createDataFrame(rows, "epoch int, batch int"))
@@ -68,7 +78,7 @@ def test_signed_rank_by_hand(spark):
     assert (row.m, row.w_plus, row.w_minus) == (4, 8.0, 2.0)
 
 
-def test_worse_trials_are_pruned(spark):
+def test_worse_trials_are_pruned(spark, join_path):
     rows = [("s", t, s, base + s * 0.001 * t) for t, base in ((0, 1.0), (1, 1.0), (2, 2.0)) for s in range(1, 31)]
     rows += [("s", 3, 1, 9.0)]
     steps = spark.createDataFrame(rows, "study string, trial long, step int, loss double")
@@ -77,7 +87,7 @@ def test_worse_trials_are_pruned(spark):
     assert got[2].steps == 30 and got[2].w_minus == 0
 
 
-def test_ties_for_the_best(spark):
+def test_ties_for_the_best(spark, join_path):
     df = spark.createDataFrame([("s", 1, 2.0), ("s", 2, 1.0), ("s", 3, 1.0)], "study string, trial long, value double")
     assert {r.trial for r in best_trial(df, "study", "value").collect()} == {2, 3}
 
@@ -116,6 +126,14 @@ def test_draws_stay_in_range(spark):
     assert trials.exceptAll(log_uniform_trials(spark, 2000, ranges, 7)).count() == 0
 
 
+def test_ranges_by_hand(spark, join_path):
+    rows = [("s", i, float(i), 1e-3 if i < 2 else 1e-5) for i in range(8)]
+    df = spark.createDataFrame(rows, "study string, trial long, value double, lr double")
+    got = {r.bin: r for r in range_scores(df, "study", "trial", "value", "lr").collect()}
+    assert {b: (r.good, r.bad) for b, r in got.items()} == {-3: (2, 0), -5: (0, 6)}
+    assert got[-3].score == pytest.approx((3 / 4) / (1 / 8))
+
+
 def test_planned_grid(spark):
     planned = expand_grid(spark, {"model": MODELS, "verb": VERBS, "task": TASKS, "seed": SEEDS})
     assert planned.count() == planned.distinct().count() == 9240

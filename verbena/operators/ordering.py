@@ -60,7 +60,8 @@ def running(
     """Add running measures over ``keys``, in the order of (chunk, order).
 
     ``chunk`` must not fall as ``order`` rises. Rows are shuffled by (keys, chunk),
-    so a hot group is spread over as many tasks as it has chunks.
+    so a hot group is spread over as many tasks as it has chunks. Keys and chunk must
+    not be null.
     """
     group = Window.partitionBy(*keys, chunk).orderBy(*order)
     inside = {

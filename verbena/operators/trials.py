@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verbena.functions.text import seeded_hash, uniform
-from verbena.operators.joins import hot_key_join
+from verbena.operators.joins import lookup
 from verbena.operators.ordering import running, running_count, running_sum, value_chunks
+from verbena.session import written
 
 GROUP_LIMIT = 1000
 
@@ -59,11 +60,8 @@ def best_trial(trials: DataFrame, study: str, value: str) -> DataFrame:
         .select(study, "_low.*", F.lit(True).alias("_lowest"))
     )
     ids = [c for c in trials.columns if c not in (study, value)]
-    return (
-        hot_key_join(trials, lowest, [study, value], "_degree", ids)
-        .filter("_lowest")
-        .drop("_lowest")
-    )
+    found = lookup(trials, written(lowest, "lowest"), [study, value], ids, "_degree")
+    return found.filter("_lowest").drop("_lowest")
 
 
 def trial_budget(
@@ -104,10 +102,9 @@ def _best_steps(steps: DataFrame, study: str, trial: str, step: str, loss: str)
             F.lit(True).alias("_chosen"),
         )
     )
-    return (
-        hot_key_join(steps, chosen, [study, trial], "_degree", [step])
-        .filter("_chosen")
-        .select(study, step, F.col(loss).alias("best_loss"), F.col(trial).alias("best_trial"))
+    found = lookup(steps, written(chosen, "chosen"), [study, trial], [step], "_degree")
+    return found.filter("_chosen").select(
+        study, step, F.col(loss).alias("best_loss"), F.col(trial).alias("best_trial")
     )
 
 
@@ -151,10 +148,7 @@ def step_differences(
     A step is shared by all trials of a study, so it is a hot key by nature.
     """
     best = _best_steps(steps, study, trial, step, loss)
-    held = steps.groupBy(study, step).agg(F.count("*").alias("_degree"))
-    paired = hot_key_join(
-        steps, best.join(held, [study, step]), [study, step], "_degree", [trial, step]
-    )
+    paired = lookup(steps, written(best, "best-steps"), [study, step], [trial, step])
     return paired.filter(F.col("best_trial") != F.col(trial)).select(
         study, trial, step, (F.col(loss) - F.col("best_loss")).alias("difference")
     )
@@ -193,9 +187,9 @@ def range_scores(
     rows = trials.select(study, trial, value, F.floor(F.log10(setting)).alias("bin"))
     cut = value_chunks(rows, [study], [value, trial])
     placed = running(cut, [study], "_chunk", [value, trial], {"_place": running_count()})
-    sizes = rows.groupBy(study).agg(F.count("*").alias("_all"))
+    sizes = rows.groupBy(study).agg(F.count("*").alias("_all"), F.count("*").alias("_degree"))
     good = F.col("_place") <= F.ceil(F.col("_all") * share)
-    graded = hot_key_join(placed, sizes, [study], "_all", [trial], values=["_all"])
+    graded = lookup(placed, written(sizes, "sizes"), [study], [trial], "_degree")
     bins = graded.groupBy(study, "bin").agg(
         F.count_if(good).alias("good"), F.count_if(~good).alias("bad")
     )

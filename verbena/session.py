@@ -43,8 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="verbena-")
-        spark.conf.set(CHECKPOINT_KEY, named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="verbena-"))
+        named = context.getCheckpointDir()
     return named
 
 
