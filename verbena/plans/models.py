@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbena.operators.grid import condition_cube, pair_with_baseline
+from verbena.operators.joins import lookup
 from verbena.operators.language import (
     adapt_lm,
     cloze_candidates,
@@ -453,3 +455,60 @@ def losses_of_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses.withColumn("loss", F.round("loss", 6)).withColumn(
         "perplexity", F.round("perplexity", 4)
     )
+
+
+@query(
+    "losses_against_baseline",
+    f"""WITH {TEST_SQL}, scored AS (
+      SELECT c.conv_id, c.turn, -ln((b.p_train + 1.5 * b.p_base) / 2.5) AS model_nll,
+             -ln(b.p_base) AS base_nll
+      FROM conv_near c JOIN big b ON b.prev = c.prev AND b.token = c.token)
+    SELECT conv_id, turn, round(avg(model_nll), 6) AS loss, round(avg(base_nll), 6) AS base_loss,
+           round(avg(model_nll) - avg(base_nll), 6) AS delta
+    FROM scored GROUP BY conv_id, turn""",
+)
+def losses_against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What adapting does to each test item: its loss next to that of the base model."""
+    item = ["conv_id", "turn"]
+    scored = written(
+        scored_test_pairs(spark, sf_dir, ["conversations"]).select(
+            "prev",
+            "token",
+            F.col("n_conversations").alias("n"),
+            F.ln("p_base").alias("base_logp"),
+            F.ln("p_model").alias("model_logp"),
+        ),
+        "scored",
+    )
+    near = neighbours(conversations(spark, sf_dir), item).drop("next")
+    tokens = score_tokens(near, scored, item, "n")
+    paired = pair_with_baseline(
+        lm_loss(tokens, item, "model_logp"), lm_loss(tokens, item, "base_logp"), item, "loss"
+    )
+    return paired.select(*item, *[F.round(c, 6).alias(c) for c in ("loss", "base_loss", "delta")])
+
+
+@query(
+    "loss_by_condition",
+    f"""WITH {DOC_SQL},
+    losses AS (SELECT doc_id, avg(-ln(p_base)) AS loss
+               FROM near JOIN uni ON uni.token = near.token GROUP BY doc_id),
+    scores AS (SELECT d.lang, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic, loss
+               FROM losses JOIN documents d ON d.doc_id = losses.doc_id
+               LEFT JOIN labels l ON l.doc_id = losses.doc_id)
+    SELECT lang, quality, toxic, grouping(lang, quality, toxic) AS level, count(*) AS n,
+           round(avg(loss), 6) AS mean
+    FROM scores GROUP BY CUBE (lang, quality, toxic)""",
+)
+def loss_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean document loss over all margins of language and labels."""
+    words = written(document_words(spark, sf_dir).select("token", "p_base"), "words")
+    docs = documents(spark, sf_dir, "doc_id", "lang", "text")
+    tokens = lookup(tokenize(docs, ["doc_id", "lang"]), words, ["token"], ["doc_id", "pos"])
+    scores = tokens.withColumn("logp", F.ln("p_base"))
+    losses = lm_loss(scores, ["doc_id", "lang"])
+    labelled = losses.join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    margins = condition_cube(
+        labelled.na.fill(-1, ["quality", "toxic"]), ["lang", "quality", "toxic"], "loss"
+    )
+    return margins.withColumn("mean", F.round("mean", 6))
