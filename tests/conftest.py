@@ -27,3 +27,18 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_dir():
     return SF_DIR
+
+
+@pytest.fixture(scope="session")
+def frame(spark, sf_dir):
+    """Registered queries by name, each built once."""
+    import __spark_entry__ as entry
+
+    built = {}
+
+    def of(name):
+        if name not in built:
+            built[name] = entry.queries()[name](spark, sf_dir)
+        return built[name]
+
+    return of

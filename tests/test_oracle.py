@@ -12,8 +12,8 @@ def con(sf_dir):
 
 
 @pytest.mark.parametrize("name", list(entry.queries()))
-def test_query_agrees_with_sql(spark, con, sf_dir, name):
-    good, note = compare(spark, con, sf_dir, entry.queries()[name], entry.oracle_sql()[name])
+def test_query_agrees_with_sql(spark, con, sf_dir, frame, name):
+    good, note = compare(spark, con, sf_dir, lambda *_: frame(name), entry.oracle_sql()[name])
     assert good, note
 
 

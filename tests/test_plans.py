@@ -12,12 +12,13 @@ SOURCES = sorted((ROOT / "verbena").rglob("*.py"))
 
 
 def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan before it runs, also of a frame that has run already."""
+    return df.select("*")._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.fixture(scope="module")
-def plans(spark, sf_dir):
-    return {name: plan_of(q(spark, sf_dir)) for name, q in entry.queries().items()}
+def plans(frame):
+    return {name: plan_of(frame(name)) for name in entry.queries()}
 
 
 def test_no_cross_join_and_no_row_python(plans):

@@ -165,12 +165,12 @@ def test_dataset_names(spark):
     rows = [
         ("data/x/dafed_transitive_SVO-OSV_wr_for_human_exp_gpt-bert.txt.gz",),
         ("syn_crined_ext_dr_for_human_exp",),
-        ("data/miniboki_train/miniboki_train.txt.gz",),
+        ("data/anchor_train/anchor_train.txt.gz",),
     ]
     got = [tuple(r)[1:] for r in parse_dataset_name(spark.createDataFrame(rows, "path string"), "path").collect()]
     assert got[0] == ("dafed_transitive_SVO-OSV_wr_for_human_exp_gpt-bert", False, "dafed", "transitive", "SVO-OSV", "wr", "gpt-bert")
     assert got[1] == ("syn_crined_ext_dr_for_human_exp", True, "crined", None, "ext", "dr", None)
-    assert got[2] == ("miniboki_train",) + (None,) * 6
+    assert got[2] == ("anchor_train",) + (None,) * 6
 
 
 def test_roles_are_disjoint(spark):

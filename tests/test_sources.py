@@ -122,11 +122,13 @@ def test_streamed_journal_equals_replay(spark, tmp_path):
         assert streamed == {tuple(r) for r in replay.collect()}
 
 
-def test_streamed_stops_equal_batch(spark, tmp_path):
+@pytest.mark.parametrize("run_type", ["long", "string"])
+def test_streamed_stops_equal_batch(spark, tmp_path, run_type):
     log, out, mark = (str(tmp_path / n) for n in ("log", "out", "checkpoint"))
-    schema = "run long, epoch long, loss double"
+    schema = f"run {run_type}, epoch long, loss double"
     runs = {1: [5, 4, 4, 4, 3, 2, 1], 2: [9, 8, 7, 6], 3: [1, 2, 3, 4, 5, 6], 4: [2, 1, 1, 1, 0]}
-    rows = [(r, e, float(x)) for r, xs in runs.items() for e, x in enumerate(xs, 1)]
+    name = int if run_type == "long" else str
+    rows = [(name(r), e, float(x)) for r, xs in runs.items() for e, x in enumerate(xs, 1)]
     # Late epochs come first: they have to wait for the gap to be filled.
     for part in (rows[1::2], rows[0::2]):
         spark.createDataFrame(part, schema).coalesce(2).write.mode("append").parquet(log)

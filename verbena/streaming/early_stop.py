@@ -19,7 +19,7 @@ def stream_early_stop(
 ) -> DataFrame:
     """One row when a run's patience is spent: run, stop_epoch, best_epoch, best_value.
 
-    ``metrics`` is a stream with run (long), epoch (long, 1, 2, 3 ...) and loss. Files may
+    ``metrics`` is a stream with run, epoch (long, 1, 2, 3 ...) and loss. Files may
     arrive out of order: epochs that come too early wait in the state until the gap
     before them is filled. A stopped run keeps only its mark, so it is never emitted
     twice. Bound the files per trigger to bound what one call sees of a long run.
@@ -58,12 +58,15 @@ def stream_early_stop(
             (next_epoch, best_value, best_epoch, stopped, list(waiting), list(waiting.values()))
         )
 
+    run_type = metrics.schema[run].dataType.simpleString()
     return (
         metrics.select(run, "epoch", "loss")
         .groupBy(run)
         .applyInPandasWithState(
             follow,
-            outputStructType=f"{run} long, stop_epoch long, best_epoch long, best_value double",
+            outputStructType=(
+                f"{run} {run_type}, stop_epoch long, best_epoch long, best_value double"
+            ),
             stateStructType=STATE,
             outputMode="append",
             timeoutConf=GroupStateTimeout.NoTimeout,
