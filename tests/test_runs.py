@@ -143,7 +143,7 @@ def test_planned_grid(spark):
     assert present.count() + gaps.count() == 9240
 
 
-def test_grid_of_tables_and_lists(spark):
+def test_grid_of_tables_and_lists(spark, join_path):
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "x string")
     cells = {tuple(r) for r in expand_grid(spark, {"x": df, "y": [1, 2, 3]}).collect()}
     assert cells == {(x, y) for x in "ab" for y in (1, 2, 3)}

@@ -4,6 +4,7 @@ import gzip
 
 import pytest
 
+from verbena.operators import joins
 from verbena.operators.metrics import chunk_epochs, early_stop
 from verbena.operators.trials import latest_trial_state
 from verbena.sources.corpora import read_corpus, read_lines, read_test_passes
@@ -32,7 +33,10 @@ def test_gzip_lines_keep_their_place(spark, tmp_path):
     assert {r.role for r in corpus.collect()} == {"train"}
 
 
-def test_plain_lines_over_many_splits(spark, tmp_path):
+@pytest.mark.parametrize("rows", [0, 1_000_000])
+def test_plain_lines_over_many_splits(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(joins, "HOT_KEYS", 2)
     lines = [f"line {i} " + "x" * (i % 90) for i in range(20_000)]
     (tmp_path / "long.txt").write_text("".join(f"{line}\n" for line in lines))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")

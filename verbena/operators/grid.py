@@ -7,6 +7,7 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbena.operators.joins import lookup
 from verbena.operators.ordering import hash_rank
 from verbena.session import written
 
@@ -46,14 +47,14 @@ def expand_grid(spark: SparkSession, dims: dict[str, list | DataFrame]) -> DataF
     sizes, levels = {}, {}
     for name, values in dims.items():
         if isinstance(values, DataFrame):
-            distinct = written(values.select(F.col(values.columns[0]).alias(name)).distinct(), name)
-            marked = distinct.withColumn("_all", F.lit(0)).withColumn(
-                "_hash", F.md5(F.col(name).cast("string"))
+            distinct = values.select(F.col(values.columns[0]).alias(name)).distinct()
+            marked = written(distinct, name).select(
+                name, F.lit(0).alias("_all"), F.md5(F.col(name).cast("string")).alias("_hash")
             )
-            levels[name] = hash_rank(marked, ["_all"], "_hash", [name], "_level").select(
-                name, (F.col("_level") - 1).alias(f"_{name}")
-            )
-            sizes[name] = distinct.count()
+            ranked = hash_rank(marked, ["_all"], "_hash", [name], "_level")
+            digits = ranked.select(name, (F.col("_level") - 1).alias(f"_{name}"))
+            levels[name] = written(digits, name)
+            sizes[name] = levels[name].count()
         else:
             sizes[name] = len(values)
     grid = spark.range(prod(sizes.values()))
@@ -64,7 +65,8 @@ def expand_grid(spark: SparkSession, dims: dict[str, list | DataFrame]) -> DataF
         stride *= sizes[name]
     for name, values in dims.items():
         if name in levels:
-            grid = grid.join(levels[name], f"_{name}")
+            # A dimension of three levels has keys that hold a third of all cells each.
+            grid = lookup(grid, levels[name], [f"_{name}"], ["id"])
         else:
             grid = grid.withColumn(
                 name, F.element_at(F.lit(values), F.col(f"_{name}").cast("int") + 1)

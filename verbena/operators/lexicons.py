@@ -63,8 +63,13 @@ def lexicon_overlap(lists: dict[str, DataFrame], word: str = "word") -> DataFram
 
 
 def unseen_words(test: DataFrame, train: DataFrame, word: str = "word") -> DataFrame:
-    """Distinct words of ``test`` that ``train`` lacks."""
-    return test.select(word).subtract(train.select(word))
+    """Distinct words of ``test`` that ``train`` lacks.
+
+    Both sides are made distinct first, map-side too; a plain ``subtract`` would send every
+    occurrence of a frequent word to one task.
+    """
+    known = train.select(word).distinct()
+    return test.select(word).distinct().join(known, word, "left_anti")
 
 
 def lexicon_coverage(

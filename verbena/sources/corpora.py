@@ -7,6 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verbena.operators.joins import lookup
+from verbena.session import written
+
 DATASET_OF_PATH = r"(?:dataset=)?([^/=]+?)(?:/part-[^/]*|\.txt(?:\.gz)?)?$"
 
 
@@ -14,8 +17,8 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, line_no (0-based, the true place in its file), text.
 
     A task numbers the lines of its split as it reads them; what comes before the split
-    in its file is added from a table with one row per split. No line is shuffled or
-    sorted for this.
+    in its file is added from a table with one row per split. No line is sorted for this,
+    nor shuffled unless there are too many splits to broadcast.
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("path"),
@@ -35,10 +38,13 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             "path",
             "_block",
             "_first",
+            "_lines",
             F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"),
         )
     )
-    return lines.join(blocks, ["path", "_block"]).select(
+    # A gzip file is one split, so its lines share one key however many they are.
+    placed = lookup(lines, written(blocks, "splits"), ["path", "_block"], ["_id"], "_lines")
+    return placed.select(
         "path",
         (F.col("_id") - F.col("_first") + F.col("_before")).alias("line_no"),
         "text",
