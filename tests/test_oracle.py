@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
+from verbena.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +12,7 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_agrees_with_sql(spark, con, sf_dir, frame, name):
     good, note = compare(spark, con, sf_dir, lambda *_: frame(name), entry.oracle_sql()[name])
     assert good, note
