@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verbena.llm import quality
+from verbena.llm import (
+    bpe_chunks,
+    nn_descent,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    suffixes,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,3 +43,67 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.quality_rules(docs)
     return judged.select("doc_id", *[F.col("quality")[c].alias(c) for c in quality.COLUMNS])
+
+
+@query("op10_best_two_fit")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1,024 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.piece_rows(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op1_simhash_anchors")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate group."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    groups = simhash.near_groups(docs)
+    return groups.select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id",
+    )
+
+
+@query("op2_credential_links", secrets.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and linked secret spans of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.find_secrets(docs))
+
+
+@query("op5_chunk_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and digests of its ids and of the decoded text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    digests = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    return bpe_chunks.encode_documents(docs, path, digests)
+
+
+@query("op3_toxicity_cnn")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score by a classifier trained on the labelled rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, model)
+
+
+@query("op7_nn_descent")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nn_descent.nearest_neighbours(rows, lambda i: i % 20 == 0)
+
+
+@query("op8_sparse_suffixes")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in the documents more than once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = suffixes.repeated_spans(docs)
+    cut = F.aggregate("cuts", F.lit(0), lambda n, c: n + c["end"] - c["start"])
+    return spans.select(
+        "doc_id",
+        F.col("start").alias("start_word"),
+        F.col("end").alias("end_word"),
+        cut.alias("cut_words"),
+    )
