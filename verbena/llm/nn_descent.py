@@ -15,9 +15,10 @@ product with a query into the smallest distance.
 Copies of a vector are one node with its smallest ids, so a group of copies of any size costs one
 node. Blocks, lists and what a node compares are all of bounded size.
 
-Defined cases. Vectors that are null, empty, zero, of another length than most... are left out if
-null, zero, or holding null or non-finite components; so are rows without an id. Equal rows count
-once. An empty table has no neighbours. Ties go to the smaller id. Further columns are not looked at.
+Defined cases. Vectors that are null, empty, zero, or hold null or non-finite components take no
+part, nor do vectors of another length than the most frequent one (of equally many, the longest),
+nor rows without an id. Equal rows count once. An empty table has no neighbours. Ties go to the
+smaller id. Further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ from pyspark.sql import functions as F
 from verbena.llm.support import ship
 from verbena.session import written
 
-K = 24  # neighbours kept for a node
-REVERSE = 16  # nodes that name it, at most, in a comparison
+K = 32  # neighbours kept for a node
+REVERSE = 32  # nodes that name it, at most, in a comparison
 TABLES = 4  # sets of projections for the first graph
 BLOCK = 128  # vectors compared with each other in the first graph
-ROUNDS = 3
-WIDE = 64  # best nodes kept in a search
-STEP = 12  # nodes opened in a hop
+ROUNDS = 5
+WIDE = 128  # best nodes kept in a search
+STEP = 48  # nodes opened in a hop
 NEAREST = 20
 SEED = 17
 
@@ -61,15 +62,14 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def packed(column: str, scale: float | None = None):
-    """Vectors as bytes: 64-bit floats, or 8-bit numbers of ``1 / scale``."""
+    """Vectors of one length as bytes: 64-bit floats, or 8-bit numbers of ``1 / scale``."""
 
     @F.arrow_udf("binary")
     def pack(vectors: pa.Array) -> pa.Array:
-        out = []
-        for v in vectors:
-            x = np.array(v.as_py(), np.float64)
-            out.append((np.rint(x * scale).astype(np.int8) if scale else x).tobytes())
-        return pa.array(out, pa.binary())
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        if scale:
+            x = np.clip(np.rint(x * scale), -127, 127).astype(np.int8)
+        return pa.array([row.tobytes() for row in np.ascontiguousarray(x)], pa.binary())
 
     return pack(F.col(column))
 
@@ -275,6 +275,9 @@ def nearest_neighbours(
     """``query_id, rank, vec_id, score``: the nearest rows found of each row that is a query."""
     ship(rows.sparkSession)
     good = written(usable(rows, key, vector), "vectors")
+    sizes = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n"))
+    usual = sizes.first()
+    good = good.filter(F.size("vector") == (usual["n"] if usual else 0))
     # The smallest ids of each distinct vector; one more than asked for, as a query leaves itself out.
     order = Window.partitionBy("vector").orderBy("id")
     copies = good.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= nearest + 1)
@@ -293,7 +296,7 @@ def nearest_neighbours(
     )
     scale = 127 / max(largest, square**0.5 * 0.3)
     nodes = written(
-        wide.select("node", "ids", "vector", packed_level("level", scale).alias("small")), "nodes"
+        wide.select("node", "ids", "vector", packed("level", scale).alias("small")), "nodes"
     )
     graph = build_graph(nodes.select("node", "small"))
     asked = good.filter(is_query(F.col("id"))).select(
@@ -312,16 +315,3 @@ def nearest_neighbours(
         .select("query_id", "rank", "vec_id", "score")
     )
 
-
-def packed_level(column: str, scale: float):
-    """Levelled vectors as 8-bit numbers, cut at the ends of the range."""
-
-    @F.arrow_udf("binary")
-    def pack(vectors: pa.Array) -> pa.Array:
-        out = [
-            np.clip(np.rint(np.array(v.as_py()) * scale), -127, 127).astype(np.int8).tobytes()
-            for v in vectors
-        ]
-        return pa.array(out, pa.binary())
-
-    return pack(F.col(column))
