@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from verbena.llm import (
     bpe_chunks,
+    licenses,
     nn_descent,
     packing,
+    pii,
     quality,
     secrets,
     simhash,
@@ -107,3 +109,24 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("end").alias("end_word"),
         cut.alias("cut_words"),
     )
+
+
+@query("op4_pii_surrogates")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for personal data, and how many there are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pii.replace_entities(docs)
+    places = F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"], e["end"]))
+    return done.select(
+        "doc_id",
+        "text",
+        F.size("entities").cast("long").alias("n_entities"),
+        F.array_join(places, ",").alias("entities"),
+    )
+
+
+@query("op6_license_tfidf")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence, its own or that of the nearest directory."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return licenses.scan_licenses(licenses.document_paths(docs), licenses.templates_of(spark))
