@@ -18,6 +18,7 @@ table gives no rows. Further columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from verbena.llm.units import UNIT, Units, units_of
 
 BORDER_BITS = 11  # a border at one byte in 2**11
 WINDOW_STEPS = (1, 2, 4, 8)  # doubling gives a window of 16 bytes
-STORED_BYTES = 48_000_000  # text of the chunks that a worker keeps
+STORED_BYTES = 12_000_000  # text of the chunks that a worker keeps
 
 GEAR = np.random.default_rng(7).integers(0, 2**32, 256, np.uint32)
 
@@ -85,7 +86,7 @@ class ChunkStore:
     def encoded(self, chunk: bytes) -> Chunk:
         found = self.known.get(chunk)
         if found is None:
-            units = UNIT.findall(chunk.decode())
+            units = list(map(sys.intern, UNIT.findall(chunk.decode())))
             found = units, self.units.of_units(units)
             if self.size > STORED_BYTES:
                 self.known.clear()

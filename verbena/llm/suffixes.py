@@ -103,8 +103,8 @@ SUFFIXES = "gram bigint, doc bigint, digest bigint, pos int, n_words int, left b
 def suffixes(texts: DataFrame, hot: np.ndarray, frequent: bool) -> DataFrame:
     """The suffixes at anchors that are (or are not) in ``hot``; copies have no gram.
 
-    A copy of a text that the task has met before gives one row without a gram; ``pos`` is 1 if the
-    first one met has the larger id and so is itself a copy.
+    A copy of a text that the task has met before under a smaller id gives one row without a gram;
+    its ``pos`` is that id.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,8 @@ def suffixes(texts: DataFrame, hot: np.ndarray, frequent: bool) -> DataFrame:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = value.as_py()
                 digest = xxhash.xxh64_intdigest(data, 1) >> 1
-                if digest in met:
+                # A copy with a smaller id than the one met before is sent, as it may be first.
+                if digest in met and met[digest][0] <= doc:
                     if not frequent:
                         first, n = met[digest]
                         if n >= LEAST and first != doc:
@@ -213,6 +214,9 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def spans() -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(held).combine_chunks()
+        place = np.stack([table.column(c).to_numpy() for c in ("gram", "doc", "digest", "pos")])
+        once = np.append(True, (place[:, 1:] != place[:, :-1]).any(axis=0))  # repeated rows
+        table = table.filter(pa.array(once)).combine_chunks()
         gram = table.column("gram").to_numpy()
         same = np.zeros(len(gram) + 1, bool)
         same[1:-1] = gram[1:] == gram[:-1]
@@ -288,7 +292,10 @@ def frequent_spans(rows: DataFrame) -> DataFrame:
             )
 
     exploded = written(
-        rows.mapInArrow(explode, "key bigint, j int, doc bigint, digest bigint, pos bigint"), "runs"
+        rows.mapInArrow(
+            explode, "key bigint, j int, doc bigint, digest bigint, pos bigint"
+        ).distinct(),
+        "runs",
     )
     place = F.struct("doc", "digest", "pos")
     repeated = (
@@ -380,7 +387,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 def compare_and_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of sorted suffixes; a copy is a repeated passage from end to end.
 
-    Of a copy and the text it was found to equal, the one with the larger id may be cut.
+    It may be cut; the text it equals, which has a smaller id, may not on its account.
     """
 
     def sorted_out() -> Iterator[pa.RecordBatch]:
@@ -390,9 +397,8 @@ def compare_and_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 copies = batch.filter(grams.is_null())
                 rows = []
                 for r in copies.select(["doc", "digest", "pos", "n_words"]).to_pylist():
-                    first, later = sorted([r["doc"], r["pos"]])
-                    rows.append((first, r["digest"], 0, r["n_words"], 0, 0))
-                    rows.append((later, r["digest"], 0, r["n_words"], 0, r["n_words"]))
+                    rows.append((r["pos"], r["digest"], 0, r["n_words"], 0, 0))
+                    rows.append((r["doc"], r["digest"], 0, r["n_words"], 0, r["n_words"]))
                 found.append(rows)
                 batch = batch.filter(grams.is_valid())
             if len(batch):
