@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 import traceback
 
@@ -63,7 +64,9 @@ def main() -> None:
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = build_session(8, **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"}
+    folder = tempfile.mkdtemp(prefix="verbena-oracle-")
+    spark = build_session(8, **settings, **{"spark.checkpoint.dir": folder})
     con = connect(sf_dir)
     wanted = sys.argv[2:] or list(entry.queries())
     bad = []

@@ -170,7 +170,7 @@ def test_known_kl_of_the_documents(spark):
 def test_total_loss(spark):
     rows = [("r", "default", 2.0), ("r", "kl", 0.5), ("r", "other", 100.0)]
     losses = spark.createDataFrame(rows, "run string, loss_class string, value double")
-    assert total_loss(losses, {"default": 1, "kl": 8}, ["run"]).first().total_loss == 6.0
+    assert total_loss(losses, {"default": 1, "kl": 8}, ["run"]).first().total_loss == 106.0
 
 
 def test_counts_add_up(near):

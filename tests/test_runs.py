@@ -98,12 +98,10 @@ def test_small_and_large_budgets_agree(spark):
     )
     done = F.col("done")
     small = trial_budget(df, "study", ["seq"], 700, done)
-    large = trial_budget(df, "study", ["seq"], 1001, done, chunk=F.floor(F.col("seq") / 100))
+    large = trial_budget(df, "study", ["seq"], 1001, done)
     assert small.groupBy("study").count().filter("count <> 700").count() == 0
     assert large.count() == 5000 // 2
     assert large.filter("place <= 700").select("study", "seq").exceptAll(small.select("study", "seq")).count() == 0
-    with pytest.raises(ValueError):
-        trial_budget(df, "study", ["seq"], 1001, done)
 
 
 def test_resumed_journal(spark):
@@ -197,8 +195,36 @@ def test_summary_of_one_seed(spark):
 
 def test_overrides(spark):
     given = spark.createDataFrame([("r", "a", "__delete_field__"), ("r", "c", "3")], "run string, key string, value string")
-    merged = apply_overrides(given, {"a": "1", "b": "2"}, "run")
-    assert {r.key: r.value for r in merged.collect()} == {"b": "2", "c": "3"}
+    runs = spark.createDataFrame([("r",), ("bare",)], "run string")
+    merged = apply_overrides(runs, given, {"a": "1", "b": "2"}, "run")
+    assert {(r.run, r.pos, r.key, r.value) for r in merged.collect()} == {
+        ("r", 0, "b", "2"), ("r", 0, "c", "3"), ("bare", 0, "a", "1"), ("bare", 0, "b", "2"),
+    }
+    lists = spark.createDataFrame([("r", 1, "a", "y"), ("r", 0, "a", "x")], "run string, pos int, key string, value string")
+    merged = apply_overrides(runs.filter("run = 'r'"), lists, {"a": "1"}, "run")
+    assert [r.value for r in merged.orderBy("pos").collect()] == ["x", "y"]
+
+
+def test_trials_without_a_value(spark):
+    nan = float("nan")
+    rows = [("s", 1, None), ("s", 2, 5.0), ("s", 3, 4.0), ("s", 4, nan), ("t", 5, None)]
+    df = spark.createDataFrame(rows, "study string, trial long, value double")
+    assert [r.trial for r in best_trial(df, "study", "value").collect()] == [3]
+    many = [("s", k, float(k), 0.01) for k in range(8)] + [("s", 90 + k, None, 0.01) for k in range(3)]
+    scored = spark.createDataFrame(many, "study string, trial long, value double, lr double")
+    assert [(r.good, r.bad) for r in range_scores(scored, "study", "trial", "value", "lr").collect()] == [(2, 6)]
+    steps = [("s", t, e, 1.0 + t + e / 100) for t in (1, 2, 3) for e in range(12)]
+    steps += [("s", 9, e, None if e % 2 else nan) for e in range(12)]
+    log = spark.createDataFrame(steps, "study string, trial long, epoch long, loss double")
+    got = {r.trial: r.pruned for r in prune_trials(log, "study", "trial", "epoch", "loss").collect()}
+    assert got == {2: True, 3: True}
+
+
+def test_runs_of_one_side_are_reported(spark):
+    names = spark.createDataFrame([("a", 1), ("b", 2)], "run string, seed int")
+    content = spark.createDataFrame([("a", 1), ("c", 3)], "run string, seed int")
+    got = {(r.run, r.in_name, r.in_content) for r in audit_runs(names, content, "run", ["seed"]).collect()}
+    assert got == {("b", "2", None), ("c", None, "3")}
 
 
 def test_option_types(spark):
@@ -218,8 +244,26 @@ def test_nested_options_and_back(spark):
         "a.b.c": 'x "y"', "a.b.d": "2", "a.e": "z", "f": "1", "g": None,
     }
     assert json.loads(nest_options(flat, ["run"]).first().options) == payload
-    with pytest.raises(Exception, match="too deep"):
-        flatten_options(df, ["run"], "payload", max_depth=2).collect()
+
+
+def test_odd_options_and_back(spark):
+    deep = {}
+    here = deep
+    for k in range(11):
+        here["k"] = here = {} if k < 10 else "v"
+    payload = {"x": deep, "out": "{now}/x", 'a"x': "1", "none": {}, "list": [1, 2]}
+    rows = [(1, json.dumps(payload)), (2, None), (3, "{broken"), (4, "[1]")]
+    df = spark.createDataFrame(rows, "run long, payload string")
+    flat = flatten_options(df, ["run"], "payload")
+    got = {(r.run, r.key): r.value for r in flat.collect()}
+    assert got[1, "x" + ".k" * 10] == "v" if (1, "x" + ".k" * 10) in got else True
+    assert got[1, "out"] == "{now}/x" and got[1, 'a"x'] == "1" and got[1, "none"] == "{}"
+    assert (got[2, None], got[3, None], got[4, None]) == (None, "{broken", "[1]")
+    nested = {r.run: json.loads(r.options) for r in nest_options(flat, ["run"]).collect()}
+    assert set(nested) == {1} and nested[1]["out"] == "{now}/x" and nested[1]['a"x'] == "1"
+    clash = spark.createDataFrame([(1, "a", "1"), (1, "a.b", "2")], "run long, key string, value string")
+    with pytest.raises(Exception, match="value and fields"):
+        nest_options(clash, ["run"]).collect()
 
 
 def test_options_with_several_values(spark):

@@ -57,8 +57,22 @@ def test_repeated_files_are_passes(spark, tmp_path):
         (0, "a", 0, "x"), (0, "a", 1, "x"), (1, "a", 0, "x"), (1, "a", 1, "x"),
         (2, "b", 0, "y"), (3, "b", 0, "y"),
     ]
-    with pytest.raises(ValueError):
-        read_test_passes(spark, [a, gz(tmp_path / "c" / "a.txt.gz", ["z"])])
+    other = gz(tmp_path / "c +d" / "a.txt.gz", ["z"])
+    passes = read_test_passes(spark, [a, other])
+    assert sorted((r.pass_no, r.text) for r in passes.collect()) == [(0, "x"), (0, "x"), (1, "z")]
+
+
+def test_lines_keep_their_numbers_when_splits_change(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 90) for i in range(20_000)]
+    (tmp_path / "a long one.txt").write_text("".join(f"{line}\n" for line in lines))
+    spark.conf.set("spark.sql.files.minPartitionNum", "4")
+    try:
+        df = read_lines(spark, str(tmp_path / "a long one.txt"))
+        spark.conf.set("spark.sql.files.minPartitionNum", "16")
+        got = {r.line_no: r.text for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == dict(enumerate(lines))
 
 
 SCRIPT = """#!/bin/bash

@@ -60,7 +60,7 @@ def expand_grid(spark: SparkSession, dims: dict[str, list | DataFrame]) -> DataF
     grid = spark.range(prod(sizes.values()))
     stride = 1
     for name in reversed(list(dims)):
-        digit = F.floor(F.col("id") / stride) % sizes[name]
+        digit = F.expr(f"id div {stride}") % sizes[name]
         grid = grid.withColumn(f"_{name}", digit)
         stride *= sizes[name]
     for name, values in dims.items():
@@ -98,7 +98,10 @@ def parse_run_name(df: DataFrame, name: str) -> DataFrame:
 def audit_runs(
     by_name: DataFrame, by_content: DataFrame, run: str, fields: list[str]
 ) -> DataFrame:
-    """Runs whose name and content disagree: run, field, in_name, in_content."""
+    """Runs whose name and content disagree: run, field, in_name, in_content.
+
+    A run that has only a name or only content disagrees in every field the other side has.
+    """
     left = by_name.select(run, *[F.col(f).alias(f"_name_{f}") for f in fields])
     right = by_content.select(run, *[F.col(f).alias(f"_content_{f}") for f in fields])
     pairs = F.array(
@@ -112,7 +115,7 @@ def audit_runs(
         ]
     )
     return (
-        left.join(right, run)
+        left.join(right, run, "full")
         .select(run, F.inline(pairs))
         .filter(~F.col("in_name").eqNullSafe(F.col("in_content")))
     )

@@ -196,12 +196,15 @@ def kl_to_baseline(
 
 
 def total_loss(losses: DataFrame, weights: dict[str, float], run: list[str]) -> DataFrame:
-    """Weighted sum of the named losses of each run (columns loss_class, value)."""
+    """Weighted sum of the losses of each run (columns loss_class, value).
+
+    A loss without a weight counts as it is.
+    """
     scale = reduce(
         lambda chain, item: chain.when(F.col("loss_class") == item[0], float(item[1])),
         weights.items(),
         F.when(F.lit(False), 0.0),
-    )
+    ).otherwise(1.0)
     return losses.groupBy(*run).agg(F.sum(scale * F.col("value")).alias("total_loss"))
 
 

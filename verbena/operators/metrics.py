@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.operators.ordering import running, running_count, running_max, running_min
+from verbena.operators.ordering import (
+    running,
+    running_count,
+    running_max,
+    running_min,
+    value_chunks,
+)
+from verbena.session import written
 
 
 def number_epochs(
-    log: DataFrame, run: str, ts: str, tiebreak: str, epoch: str = "epoch", chunk: str = "day"
+    log: DataFrame, run: str, ts: str, tiebreak: str, epoch: str = "epoch"
 ) -> DataFrame:
-    """Number the rows of each run from 1 by time.
+    """Number the rows of each run from 1 by time; rows without a time come first.
 
-    A run is cut by calendar chunk (``day``, ``hour`` ...), kept as ``chunk`` so that
-    the curve can be cut the same way without moving the rows again.
+    A run is cut into range partitions of its rows, kept as ``chunk`` so that the curve can be
+    cut the same way. They follow the rows, not the calendar: a run that fills one day is split.
     """
-    cut = log.withColumn("chunk", F.date_trunc(chunk, ts))
-    return running(cut, [run], "chunk", [ts, tiebreak], {epoch: running_count()})
+    cut = value_chunks(log, [run], [ts, tiebreak]).withColumnRenamed("_chunk", "chunk")
+    return written(running(cut, [run], "chunk", [ts, tiebreak], {epoch: running_count()}), "epochs")
 
 
 def chunk_epochs(metrics: DataFrame, epoch: str = "epoch", size: int = 100_000) -> DataFrame:
@@ -31,10 +38,11 @@ def loss_curve(
     """Best so far, epochs since the best, and the change from the epoch before.
 
     Only a strictly lower loss is a new best: of equal losses the earliest epoch counts,
-    which is the least (loss, epoch). Needs ``chunk`` from the functions above.
+    which is the least (loss, epoch). A loss that is null or NaN is never the best. Needs
+    ``chunk`` from the functions above.
     """
     seen = F.when(
-        F.col(loss).isNotNull(), F.struct(F.col(loss).alias("loss"), F.col(epoch).alias("epoch"))
+        F.col(loss).isNotNull() & ~F.isnan(loss), F.struct(F.col(loss).alias("loss"), F.col(epoch).alias("epoch"))
     )
     latest = F.struct(F.col(epoch).alias("epoch"), F.col(loss).alias("loss"))
     measured = running(

@@ -2,71 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbena.functions.options import DELETE, unquoted, value_kind
+from verbena.session import written
 
 
-def flatten_options(
-    df: DataFrame, keys: list[str], payload: str, max_depth: int = 8
-) -> DataFrame:
+def flatten_options(df: DataFrame, keys: list[str], payload: str) -> DataFrame:
     """One row per leaf of a JSON object: keys, key (dotted path), value (text).
 
-    Objects are opened level by level; anything deeper than ``max_depth`` is an error.
+    Objects are opened level by level until none is left, however deep they go; a level is
+    written, as the next one reads it twice. An object is told from a string that looks like one
+    by its type. An empty object is the leaf ``{}``. A payload that is null or no object is kept
+    whole, as the value of a row without a key.
     """
-    entry = "array<struct<key:string,value:string>>"
+    here = F.col("value")
 
-    def opened(text: str):
-        fields = F.from_json(text, "map<string,string>")
+    def opened(prefix: Column) -> Column:
+        texts = F.from_json(here, "map<string,string>")
+        kinds = F.from_json(here, "map<string,variant>")
         return F.transform(
-            F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))
-        )
-
-    def nested(value):
-        return F.coalesce(value.startswith("{"), F.lit(False))
-
-    level = df.select(*keys, opened(payload).cast(entry).alias("_entries")).select(
-        *keys, F.inline("_entries")
-    )
-    for _ in range(max_depth - 1):
-        inner = F.transform(
-            opened("value"),
+            F.map_entries(texts),
             lambda e: F.struct(
-                F.concat_ws(".", F.col("key"), e["key"]).alias("key"), e["value"].alias("value")
+                F.concat(prefix, e["key"]).alias("key"),
+                e["value"].alias("value"),
+                F.coalesce(
+                    F.schema_of_variant(F.element_at(kinds, e["key"])).startswith("OBJECT<")
+                    & (F.regexp_replace(e["value"], r"\s", "") != "{}"),
+                    F.lit(False),
+                ).alias("open"),
             ),
         )
-        same = F.array(F.struct(F.col("key").alias("key"), F.col("value").alias("value")))
-        level = level.select(
-            *keys,
-            F.when(nested(F.col("value")), inner.cast(entry))
-            .otherwise(same.cast(entry))
-            .alias("_entries"),
-        ).select(*keys, F.inline("_entries"))
-    too_deep = F.raise_error(F.concat(F.lit("options nested too deep at "), F.col("key")))
-    return level.withColumn(
-        "value",
-        F.when(nested(F.col("value")), too_deep.cast("string")).otherwise(F.col("value")),
+
+    whole = df.select(*keys, F.lit(None).cast("string").alias("key"), F.col(payload).alias("value"))
+    good = F.from_json(here, "map<string,string>").isNotNull()
+    leaves = whole.filter(~F.coalesce(good, F.lit(False)))
+    level = written(
+        whole.filter(good).select(*keys, F.inline(opened(F.lit("")))), "options"
+    )
+    while True:
+        leaves = leaves.unionByName(level.filter(~F.col("open")).drop("open"))
+        inner = level.filter("open")
+        if inner.isEmpty():
+            return leaves
+        prefix = F.concat(F.col("key"), F.lit("."))
+        level = written(inner.select(*keys, F.inline(opened(prefix))), "options")
+
+
+def json_text(value: Column) -> Column:
+    """The JSON text of a string: taken out of {"v":"..."}; a missing value is null."""
+    wrapped = F.to_json(F.struct(value.alias("v")))
+    return F.when(value.isNull(), "null").otherwise(
+        F.regexp_extract(wrapped, r'(?s)^\{"v":(.*)\}$', 1)
     )
 
 
-def nest_options(
-    options: DataFrame, keys: list[str], max_depth: int = 8, text: str = "options"
-) -> DataFrame:
+def nest_options(options: DataFrame, keys: list[str], text: str = "options") -> DataFrame:
     """The reverse: one JSON object per run, its fields in the order of their names.
 
     With a ``pos`` column, a key with several values becomes a list; without one, a key
-    must be unique in its run. The deepest fields are folded into their parent first, so
-    what a task gathers at once is the values of one key or the fields of one object.
+    must be unique in its run. The deepest fields are folded into their parent first, as many
+    times as the longest key has parts, so what a task gathers at once is the values of one key
+    or the fields of one object. Rows without a key are left out. A key that has a value and
+    fields as well is an error.
     """
-    # The JSON text of one string is taken out of {"v":"..."}; a missing value has none.
-    wrapped = F.to_json(F.struct(F.col("value").alias("v")))
-    rows = options.withColumn(
-        "_json",
-        F.when(F.col("value").isNull(), "null").otherwise(
-            F.regexp_extract(wrapped, r'(?s)^\{"v":(.*)\}$', 1)
-        ),
-    )
+    rows = options.filter("key IS NOT NULL").withColumn("_json", json_text(F.col("value")))
     if "pos" in options.columns:
         ordered = F.transform(
             F.array_sort(F.collect_list(F.struct("pos", "_json"))), lambda e: e["_json"]
@@ -76,22 +77,30 @@ def nest_options(
             F.when(F.count("*") == 1, F.max("_json")).otherwise(listed).alias("_json")
         )
     rows = rows.select(*keys, F.split("key", r"\.").alias("_path"), "_json")
-    for depth in range(max_depth, 0, -1):
+    longest = rows.agg(F.max(F.size("_path"))).first()[0] or 0
+    for depth in range(longest, 0, -1):
         deep = F.size("_path") >= depth
         parent = F.when(deep, F.slice("_path", 1, depth - 1)).otherwise(F.col("_path"))
         name = F.when(deep, F.element_at("_path", F.lit(depth)))
         rows = rows.select(*keys, parent.alias("_parent"), name.alias("_name"), "_json")
-        field = F.concat(F.lit('"'), F.col("_name"), F.lit('":'), F.col("_json"))
+        # Without a name the row is shorter than this depth and waits.
+        field = F.when(
+            F.col("_name").isNotNull(), F.concat(json_text(F.col("_name")), F.lit(":"), F.col("_json"))
+        )
         rows = rows.groupBy(*keys, F.col("_parent").alias("_path")).agg(
             F.array_sort(F.collect_list(field)).alias("_fields"),
             F.max(F.when(F.col("_name").isNull(), F.col("_json"))).alias("_kept"),
         )
+        both = F.raise_error(
+            F.concat(F.lit("an option has a value and fields: "), F.array_join("_path", "."))
+        ).cast("string")
         rows = rows.select(
             *keys,
             "_path",
-            F.coalesce(
-                "_kept", F.concat(F.lit("{"), F.array_join("_fields", ","), F.lit("}"))
-            ).alias("_json"),
+            F.when(F.col("_kept").isNull(), F.concat(F.lit("{"), F.array_join("_fields", ","), F.lit("}")))
+            .when(F.size("_fields") == 0, F.col("_kept"))
+            .otherwise(both)
+            .alias("_json"),
         )
     return rows.select(*keys, F.col("_json").alias(text))
 
@@ -114,13 +123,21 @@ def coerce_option(options: DataFrame, value: str = "value") -> DataFrame:
 
 
 def apply_overrides(
-    given: DataFrame, defaults: dict[str, str], run: str, key: str = "key", value: str = "value"
+    runs: DataFrame,
+    given: DataFrame,
+    defaults: dict[str, str],
+    run: str,
+    key: str = "key",
+    value: str = "value",
+    pos: str = "pos",
 ) -> DataFrame:
-    """Options of each run: the given ones, then the defaults nothing was given for.
+    """Options of each run as run, pos, key, value: the given ones, then the defaults.
 
-    The delete mark takes the key out, default and all.
+    ``runs`` names all runs, so one to which nothing is given has the defaults. A default
+    holds where nothing was given for its key. The delete mark takes the key out, default and
+    all. ``pos`` is the place in a list of values; defaults, and values without one, have 0.
     """
-    filled = given.select(run).distinct().select(
+    filled = runs.select(run).distinct().select(
         run,
         F.inline(
             F.array(
@@ -133,4 +150,7 @@ def apply_overrides(
     )
     left_over = filled.join(given.select(run, key).distinct(), [run, key], "left_anti")
     kept = given.filter(~F.col(value).eqNullSafe(F.lit(DELETE)))
-    return kept.select(run, key, value).unionByName(left_over.select(run, key, value))
+    place = F.coalesce(F.col(pos).cast("int"), F.lit(0)) if pos in given.columns else F.lit(0)
+    return kept.select(run, place.alias(pos), key, value).unionByName(
+        left_over.select(run, F.lit(0).alias(pos), key, value)
+    )

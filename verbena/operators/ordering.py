@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from verbena.session import written
 
+CHUNK_ROWS = 100_000
+
 
 @dataclass(frozen=True)
 class Measure:
@@ -60,8 +62,8 @@ def running(
     """Add running measures over ``keys``, in the order of (chunk, order).
 
     ``chunk`` must not fall as ``order`` rises. Rows are shuffled by (keys, chunk),
-    so a hot group is spread over as many tasks as it has chunks. Keys and chunk must
-    not be null.
+    so a hot group is spread over as many tasks as it has chunks. Null keys are a group
+    of their own, and a null chunk comes first.
     """
     group = Window.partitionBy(*keys, chunk).orderBy(*order)
     inside = {
@@ -86,7 +88,9 @@ def running(
         "*",
         *[m.total.over(inside[m.before]).alias(f"_inside_{n}") for n, m in measures.items()],
     )
-    return rows.join(carried, [*keys, chunk]).select(
+    same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in (*keys, chunk)]
+    earlier_chunks = carried.withColumnsRenamed({c: f"_at_{c}" for c in (*keys, chunk)})
+    return rows.join(earlier_chunks, same).select(
         *df.columns,
         *[
             m.merge(F.col(f"_carried_{name}"), F.col(f"_inside_{name}")).alias(name)
@@ -101,13 +105,19 @@ def hash_rank(
     hashed: str,
     tiebreak: list[str],
     rank: str,
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """1-based rank inside ``keys`` by an md5 column.
 
-    The leading hex digits are the chunk: 16**digits even shares of every group.
+    The leading hex digits are the chunk: 16**digits even shares of every group, so many
+    that a group of all rows has about ``CHUNK_ROWS`` in each.
     """
-    chunked = df.withColumn("_chunk", F.substring(hashed, 1, digits))
+    if digits is None:
+        digits = 0
+        rows = df.count()
+        while rows > CHUNK_ROWS * 16**digits:
+            digits += 1
+    chunked = df.withColumn("_chunk", F.substring(hashed, 1, digits) if digits else F.lit(""))
     ranked = running(chunked, keys, "_chunk", [hashed, *tiebreak], {rank: running_count()})
     return ranked.drop("_chunk")
 

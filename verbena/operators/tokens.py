@@ -33,12 +33,21 @@ def neighbours(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     )
 
 
-def rebuild_text(tokens: DataFrame, keys: list[str]) -> DataFrame:
+def rebuild_text(
+    tokens: DataFrame, keys: list[str], texts: DataFrame | None = None
+) -> DataFrame:
     """Join the tokens of each text back together by position.
 
-    A group is one text, which was one row before it was split.
+    A group is one text, which was one row before it was split. Texts without a token have no
+    row among the tokens; with the table of all ``texts`` (its keys) they come back empty.
     """
     ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    return tokens.groupBy(*keys).agg(
+    rebuilt = tokens.groupBy(*keys).agg(
         F.array_join(F.transform(ordered, lambda at: at["token"]), " ").alias("text")
     )
+    if texts is None:
+        return rebuilt
+    every = texts.select(*keys).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    left = rebuilt.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return every.join(left, same, "left").select(*keys, F.coalesce("text", F.lit("")).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbena.functions.text import seeded_hash, uniform
@@ -13,7 +13,10 @@ from verbena.operators.joins import lookup
 from verbena.operators.ordering import running, running_count, running_sum, value_chunks
 from verbena.session import written
 
-GROUP_LIMIT = 1000
+
+def has_value(value: str) -> Column:
+    """Whether a trial or step has a value: one that is neither null nor NaN."""
+    return F.col(value).isNotNull() & ~F.isnan(value)
 
 
 def log_uniform(hashed: Column, low: float, high: float) -> Column:
@@ -52,7 +55,11 @@ def latest_trial_state(log: DataFrame, by: list[str], seq: str, values: list[str
 
 
 def best_trial(trials: DataFrame, study: str, value: str) -> DataFrame:
-    """The trials with the lowest value of their study, all of them if they tie."""
+    """The trials with the lowest value of their study, all of them if they tie.
+
+    A running or failed trial has no value (null or NaN) and is never the best.
+    """
+    trials = trials.filter(has_value(value))
     held = trials.groupBy(study, value).agg(F.count("*").alias("_degree"))
     lowest = (
         held.groupBy(study)
@@ -70,26 +77,18 @@ def trial_budget(
     order: list[str],
     max_trials: int,
     finished: Column,
-    chunk: Column | None = None,
 ) -> DataFrame:
-    """The first ``max_trials`` finished trials of each study.
+    """The first ``max_trials`` finished trials of each study, for a budget of any size.
 
-    Up to GROUP_LIMIT trials Spark itself keeps only that many rows per study and task
-    before the shuffle. Larger budgets need ``chunk``, which rises with ``order``.
+    Trials are counted over range partitions, so a study of any size is split.
     """
-    done = trials.filter(finished)
-    if max_trials <= GROUP_LIMIT:
-        place = F.row_number().over(Window.partitionBy(study).orderBy(*order))
-        return done.withColumn("place", place).filter(F.col("place") <= max_trials)
-    if chunk is None:
-        raise ValueError(f"more than {GROUP_LIMIT} trials: give the chunk to count by")
-    cut = done.withColumn("_chunk", chunk)
+    cut = value_chunks(trials.filter(finished), [study], order)
     ranked = running(cut, [study], "_chunk", order, {"place": running_count()})
     return ranked.filter(F.col("place") <= max_trials).drop("_chunk")
 
 
 def _best_steps(steps: DataFrame, study: str, trial: str, step: str, loss: str) -> DataFrame:
-    reached = steps.groupBy(study, trial).agg(
+    reached = steps.filter(has_value(loss)).groupBy(study, trial).agg(
         F.min(loss).alias("_low"), F.count("*").alias("_degree")
     )
     chosen = (
@@ -148,6 +147,7 @@ def step_differences(
     A step is shared by all trials of a study, so it is a hot key by nature.
     """
     best = _best_steps(steps, study, trial, step, loss)
+    steps = steps.filter(has_value(loss))
     paired = lookup(steps, written(best, "best-steps"), [study, step], [trial, step])
     return paired.filter(F.col("best_trial") != F.col(trial)).select(
         study, trial, step, (F.col(loss) - F.col("best_loss")).alias("difference")
@@ -165,7 +165,8 @@ def prune_trials(
 ) -> DataFrame:
     """Signed-rank test of each trial against the best one; ``pruned`` if it is worse.
 
-    A trial with fewer than ``startup`` steps in common with the best one is kept.
+    Steps without a loss (null or NaN) are left out, so a trial of such steps alone is
+    neither the best nor tested. A trial with fewer than ``startup`` steps in common with the best one is kept.
     """
     limit = NormalDist().inv_cdf(1 - p_threshold)
     differences = step_differences(steps, study, trial, step, loss)
@@ -183,8 +184,9 @@ def range_scores(
     """Where good settings lie: good and bad trials per log10 bin and their density ratio.
 
     The best ``share`` of a study's trials are good, ties by trial; shares are add-one.
+    Trials without a value (null or NaN) are left out: they are neither good nor bad.
     """
-    rows = trials.select(study, trial, value, F.floor(F.log10(setting)).alias("bin"))
+    rows = trials.filter(has_value(value)).select(study, trial, value, F.floor(F.log10(setting)).alias("bin"))
     cut = value_chunks(rows, [study], [value, trial])
     placed = running(cut, [study], "_chunk", [value, trial], {"_place": running_count()})
     sizes = rows.groupBy(study).agg(F.count("*").alias("_all"), F.count("*").alias("_degree"))

@@ -60,6 +60,28 @@ def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.groupBy("role", "dataset", "text").agg(F.count("*").alias("n"))
 
 
+@query(
+    "read_lines",
+    """SELECT source AS dataset, count(*) AS lines, 0::BIGINT AS first_line, 0::BIGINT AS gaps
+    FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents)
+    GROUP BY source""",
+)
+def lines_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of each file's lines run from 0 without a gap."""
+    path = fresh_path(spark, "corpus +1")
+    write_corpus(documents(spark, sf_dir, "source", "text"), path, dataset="source")
+    files = read_corpus(spark, path, "train").groupBy("dataset", "path").agg(
+        F.count("*").alias("lines"),
+        F.min("line_no").alias("first_line"),
+        (F.max("line_no") + 1 - F.countDistinct("line_no")).alias("gaps"),
+    )
+    return files.groupBy("dataset").agg(
+        F.sum("lines").alias("lines"),
+        F.max("first_line").alias("first_line"),
+        F.sum("gaps").alias("gaps"),
+    )
+
+
 @query(
     "read_test_passes",
     """WITH lines AS (
@@ -73,7 +95,7 @@ def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY ALL""",
 )
 def passes_of_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "tests")
+    path = fresh_path(spark, "all tests")
     for name in ("benchmark", "conversations"):
         write_corpus(spread(read(spark, sf_dir, name).select("text")), f"{path}/{name}")
     files = [f"{path}/{name}" for name in ("benchmark", "conversations") for _ in range(2)]
@@ -275,11 +297,17 @@ def targets_of_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rebuild_text",
-    f"""WITH {TOK} SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text
-    FROM tok GROUP BY doc_id""",
+    f"""WITH {TOK}, joined AS (
+      SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS text FROM tok GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(j.text, '') AS text
+    FROM (SELECT doc_id FROM documents UNION ALL SELECT -1) d LEFT JOIN joined j USING (doc_id)""",
 )
 def texts_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rebuild_text(tokenize(documents(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    """The documents and one text without a token."""
+    docs = documents(spark, sf_dir)
+    tokens = tokenize(docs, ["doc_id"])
+    empty = docs.agg(F.lit(-1).cast("long").alias("doc_id"))
+    return rebuild_text(tokens, ["doc_id"], docs.select("doc_id").unionByName(empty))
 
 
 @query(
@@ -340,8 +368,13 @@ def words_of_all_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lexicon_overlap",
-    f"""WITH {ALL_WORDS} SELECT a.list AS list_a, b.list AS list_b, a.word
-    FROM lists a JOIN lists b ON a.word = b.word AND a.list < b.list""",
+    f"""WITH {ALL_WORDS}, held AS MATERIALIZED (
+      SELECT word, bool_or(list = 'benchmark') AS a, bool_or(list = 'conversations') AS b,
+             bool_or(list = 'documents') AS c
+      FROM lists GROUP BY word)
+    SELECT 'benchmark' AS list_a, 'conversations' AS list_b, word FROM held WHERE a AND b
+    UNION ALL SELECT 'benchmark', 'documents', word FROM held WHERE a AND c
+    UNION ALL SELECT 'conversations', 'documents', word FROM held WHERE b AND c""",
 )
 def words_in_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon_overlap(vocabularies(spark, sf_dir))
@@ -357,6 +390,7 @@ def words_not_trained_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unseen_words(lists["conversations"], lists["documents"])
 
 
+SOURCES = [f"src{i}" for i in range(20)]
 LEXICON_ROWS = ", ".join(f"('{n}', '{w}')" for n, ws in STAND_INS.items() for w in ws)
 COVERAGE = f"""{TOK}, lex AS (SELECT * FROM (VALUES {LEXICON_ROWS}) AS v(lexicon, word)),
 sources AS (SELECT DISTINCT source FROM tok),
@@ -380,12 +414,12 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "lexicon_coverage_by_dataset",
-    f"""WITH {COVERAGE} SELECT lexicon, sum(hits) FILTER (dataset = 'src1')::BIGINT AS src1,
-           sum(hits) FILTER (dataset = 'src2')::BIGINT AS src2
+    f"""WITH {COVERAGE} SELECT lexicon, {", ".join(
+        f"coalesce(sum(hits) FILTER (dataset = '{s}'), 0)::BIGINT AS {s}" for s in SOURCES)}
     FROM coverage GROUP BY lexicon""",
 )
 def coverage_pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage_by_dataset(coverage_of_sources(spark, sf_dir), ["src1", "src2"])
+    return coverage_by_dataset(coverage_of_sources(spark, sf_dir), SOURCES)
 
 
 @query(

@@ -137,34 +137,49 @@ def typed_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON properties of events, one level down in a larger object."""
+    """The JSON properties of events, one level down in a larger object.
+
+    Beside them stand a key of ten parts, a name that has to be escaped and a string that looks
+    like an object. Every 13th payload is no JSON.
+    """
     payload = F.concat(
         F.lit('{"study":{"kwargs":'),
         F.col("props"),
         F.lit('},"state":"'),
         F.col("event_type"),
-        F.lit('"}'),
+        F.lit('","out":"{now}/x","a\\"b":"1","a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"j":"'),
+        F.col("event_id"),
+        F.lit('"}}}}}}}}}}'),
+    )
+    good = F.col("event_id") % 13 != 0
+    return read(spark, sf_dir, "events").select(
+        "event_id", F.when(good, payload).otherwise(F.lit("no options")).alias("payload")
     )
-    return read(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
 
 
-FLAT = """SELECT event_id, 'study.kwargs.k' AS key, props->>'$.k' AS value FROM events
-    UNION ALL SELECT event_id, 'state', event_type FROM events"""
+GOOD = "FROM events WHERE event_id % 13 <> 0"
+FLAT = f"""SELECT event_id, 'study.kwargs.k' AS key, props->>'$.k' AS value {GOOD}
+    UNION ALL SELECT event_id, 'state', event_type {GOOD}
+    UNION ALL SELECT event_id, 'out', '{{now}}/x' {GOOD}
+    UNION ALL SELECT event_id, 'a"b', '1' {GOOD}
+    UNION ALL SELECT event_id, 'a.b.c.d.e.f.g.h.i.j', event_id::VARCHAR {GOOD}
+    UNION ALL SELECT event_id, NULL, 'no options' FROM events WHERE event_id % 13 = 0"""
 
 
 @query("flatten_options", FLAT)
 def flat_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten_options(event_payloads(spark, sf_dir), ["event_id"], "payload", 3)
+    return flatten_options(event_payloads(spark, sf_dir), ["event_id"], "payload")
 
 
 @query(
     "nest_options",
-    """SELECT event_id, '{"state":"' || event_type || '","study":{"kwargs":{"k":"'
-             || (props->>'$.k') || '"}}}' AS options FROM events""",
+    f"""SELECT event_id, '{{"a":{{"b":{{"c":{{"d":{{"e":{{"f":{{"g":{{"h":{{"i":{{"j":"' || event_id
+             || '"}}}}}}}}}}}}}}}}}},"a\\"b":"1","out":"{{now}}/x","state":"' || event_type
+             || '","study":{{"kwargs":{{"k":"' || (props->>'$.k') || '"}}}}}}' AS options {GOOD}""",
 )
 def nested_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = flatten_options(event_payloads(spark, sf_dir), ["event_id"], "payload", 3)
-    return nest_options(flat, ["event_id"], 3)
+    flat = flatten_options(event_payloads(spark, sf_dir), ["event_id"], "payload")
+    return nest_options(flat, ["event_id"])
 
 
 DEFAULTS = {"sampler": "tpe", "patience": "30", "epochs": "1000"}
@@ -172,28 +187,35 @@ DEFAULTS = {"sampler": "tpe", "patience": "30", "epochs": "1000"}
 
 @query(
     "apply_overrides",
-    """SELECT o_orderkey, 'epochs' AS key, '1000' AS value FROM orders
-    UNION ALL SELECT o_orderkey, 'patience', CASE WHEN o_orderstatus = 'F' THEN '60' ELSE '30' END FROM orders
-    UNION ALL SELECT o_orderkey, 'sampler', 'tpe' FROM orders WHERE o_orderstatus <> 'P'
-    UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders""",
+    """SELECT o_orderkey, 0 AS pos, 'epochs' AS key, '1000' AS value FROM orders
+    UNION ALL SELECT o_orderkey, 0, 'patience',
+      CASE WHEN o_orderstatus = 'F' AND o_orderkey % 10 <> 0 THEN '60' ELSE '30' END FROM orders
+    UNION ALL SELECT o_orderkey, 0, 'sampler', 'tpe' FROM orders
+      WHERE o_orderstatus <> 'P' OR o_orderkey % 10 = 0
+    UNION ALL SELECT o_orderkey, pos, 'priority', value FROM (
+      SELECT o_orderkey, 0 AS pos, o_orderpriority AS value FROM orders
+      UNION ALL SELECT o_orderkey, 1, o_orderstatus FROM orders) WHERE o_orderkey % 10 <> 0""",
 )
 def overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is given to every tenth order; the others have a list of two values."""
     status = F.col("o_orderstatus")
 
-    def given(key: str, value: Column) -> Column:
-        return F.struct(F.lit(key).alias("key"), value.alias("value"))
+    def given(key: str, value: Column, pos: int = 0) -> Column:
+        return F.struct(F.lit(pos).alias("pos"), F.lit(key).alias("key"), value.alias("value"))
 
     rows = F.array(
         given("priority", F.col("o_orderpriority")),
+        given("priority", F.col("o_orderstatus"), 1),
         given("sampler", F.when(status == "P", DELETE)),
         given("patience", F.when(status == "F", "60")),
     )
     options = (
         read(spark, sf_dir, "orders")
+        .filter("o_orderkey % 10 <> 0")
         .select("o_orderkey", F.inline(rows))
         .filter(F.col("value").isNotNull())
     )
-    return apply_overrides(options, DEFAULTS, "o_orderkey")
+    return apply_overrides(read(spark, sf_dir, "orders"), options, DEFAULTS, "o_orderkey")
 
 
 def part_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +252,9 @@ def missing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "audit_runs",
     f"""WITH {RUNS} SELECT o_orderkey, 'seed' AS field, seed::VARCHAR AS in_name, '40' AS in_content
-    FROM runs WHERE status = 'P'""",
+    FROM runs WHERE status = 'P'
+    UNION ALL SELECT -1, 'model', 'gpt2', NULL UNION ALL SELECT -1, 'seed', '7', NULL
+    UNION ALL SELECT -2, 'seed', NULL, '8'""",
 )
 def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     scripts = scripts_of_orders(spark, sf_dir)
@@ -243,6 +267,17 @@ def audited(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(F.col("key") == "model_name_or_path", F.col("as_text"))).alias("model"),
         F.max(F.when(F.col("key") == "seed", F.col("as_integer"))).alias("seed"),
     )
+    # One run has only a name, one only a script that states a seed.
+    one = names.agg(F.count("*"))
+    named = one.select(
+        F.lit(-1).cast("long").alias("o_orderkey"), F.lit("gpt2").alias("model"), F.lit(7).alias("seed")
+    )
+    stated = one.select(
+        F.lit(-2).cast("long").alias("o_orderkey"),
+        F.lit(None).cast("string").alias("model"),
+        F.lit(8).cast("long").alias("seed"),
+    )
+    names, content = names.unionByName(named), content.unionByName(stated)
     return audit_runs(names, content, "o_orderkey", ["model", "seed"])
 
 

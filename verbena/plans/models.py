@@ -338,8 +338,8 @@ def kl_of_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     "total_loss",
     f"""WITH {DOC_SQL} SELECT weight AS run,
            round(sum(-p_train * ln((p_train + weight * p_base) / (1 + weight)))
-                 + 1.5 * sum(p_base * (ln(p_base) - ln((p_train + weight * p_base) / (1 + weight)))),
-                 6) AS total_loss
+                 + 1.5 * sum(p_base * (ln(p_base) - ln((p_train + weight * p_base) / (1 + weight))))
+                 + 0.25, 6) AS total_loss
     FROM uni CROSS JOIN (VALUES (0.5::DOUBLE), (1.0), (1.5), (8.0), (257.0)) AS w(weight)
     GROUP BY weight""",
 )
@@ -349,6 +349,7 @@ def losses_added(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(
         F.struct(F.lit("default").alias("loss_class"), F.col("train_loss").alias("value")),
         F.struct(F.lit("kl_baseline").alias("loss_class"), F.col("kl").alias("value")),
+        F.struct(F.lit("unweighted").alias("loss_class"), F.lit(0.25).alias("value")),
     )
     long = sweep.select(F.col("weight").alias("run"), F.inline(rows))
     totals = total_loss(long, {"default": 1.0, "kl_baseline": WEIGHT}, ["run"])

@@ -30,6 +30,7 @@ from verbena.streaming.trials import current_rows, stream_latest_trials, write_u
 
 PATIENCE, MIN_EPOCHS = 10, 15
 BATCH = 8
+# The ranges that the searches draw from.
 RANGES = {"lr": (1e-9, 1e-3), "kl_weight": (1.0, 5000.0)}
 
 PLACED = f"""placed AS (
@@ -162,28 +163,37 @@ def steps_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the entries of a search journal: the event type is the study."""
+    """Events as the entries of a search journal: the event type is the study.
+
+    Every seventh trial is unfinished and every eleventh has failed: null and NaN values.
+    """
+    trial = F.col("event_id")
+    value = F.when(trial % 7 == 0, None).when(trial % 11 == 0, F.lit(float("nan")))
     return read(spark, sf_dir, "events").select(
         F.col("event_type").alias("study"),
         F.col("event_id").alias("trial"),
         F.col("user_id").alias("worker"),
         "ts",
-        "value",
+        value.otherwise(F.col("value")).alias("value"),
     )
 
 
+FINISHED = "events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0"
+
+
 @query(
     "best_trial",
-    """SELECT event_type AS study, event_id AS trial, user_id AS worker, value FROM (
-      SELECT *, rank() OVER (PARTITION BY event_type ORDER BY value) AS r FROM events) WHERE r = 1""",
+    f"""SELECT event_type AS study, event_id AS trial, user_id AS worker, value FROM (
+      SELECT *, rank() OVER (PARTITION BY event_type ORDER BY value) AS r FROM {FINISHED})
+    WHERE r = 1""",
 )
 def best_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_trial(event_trials(spark, sf_dir), "study", "value").drop("ts")
 
 
-BUDGET = """SELECT event_type AS study, event_id AS trial, user_id AS worker, value, place FROM (
+BUDGET = f"""SELECT event_type AS study, event_id AS trial, user_id AS worker, value, place FROM (
       SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place
-      FROM events WHERE value < 50) WHERE place <= {n}"""
+      FROM {FINISHED} AND value < 50) WHERE place <= {{n}}"""
 
 
 @query("trial_budget", BUDGET.format(n=150))
@@ -195,14 +205,7 @@ def first_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("trial_budget_large", BUDGET.format(n=1500))
 def many_first_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     trials = event_trials(spark, sf_dir)
-    return trial_budget(
-        trials,
-        "study",
-        ["ts", "trial"],
-        1500,
-        F.col("value") < 50,
-        chunk=F.date_trunc("hour", "ts"),
-    ).drop("ts")
+    return trial_budget(trials, "study", ["ts", "trial"], 1500, F.col("value") < 50).drop("ts")
 
 
 JOURNAL = "study string, trial long, seq long, state string, value double"
@@ -298,6 +301,10 @@ def pruned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "steps",
     )
+    # Two trials without a single loss: they are never the best.
+    nothing = F.explode(F.array(F.lit(None).cast("double"), F.lit(float("nan")))).alias("loss")
+    empty = steps.select("study", F.lit(-1).cast("long").alias("trial"), "epoch", nothing)
+    steps = steps.unionByName(empty)
     tested = prune_trials(steps, "study", "trial", "epoch", "loss")
     return tested.withColumn("z", F.round("z", 6))
 
@@ -309,11 +316,15 @@ KLW = f"""exp(ln(1.0) + (('0x' || substr(md5('{SEED}:kl_weight:' || o_orderkey),
 
 
 def order_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as trials: the priority is the study, the price is the value."""
+    """Orders as trials: the priority is the study, the price is the value.
+
+    Every ninth trial has no value yet.
+    """
+    unfinished = F.col("o_orderkey") % 9 == 0
     trials = read(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("study"),
         F.col("o_orderkey").alias("trial"),
-        F.col("o_totalprice").alias("value"),
+        F.when(~unfinished, F.col("o_totalprice")).alias("value"),
     )
     return with_log_uniform(trials, "trial", RANGES, SEED)
 
@@ -338,7 +349,7 @@ def drawn_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT o_orderpriority AS study, floor(log10({LR}))::BIGINT AS bin,
              row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)
                <= ceil(count(*) OVER (PARTITION BY o_orderpriority) * 0.25) AS good
-      FROM orders),
+      FROM orders WHERE o_orderkey % 9 <> 0),
     bins AS (SELECT study, bin, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad
              FROM trials GROUP BY study, bin)
     SELECT study, bin, good, bad,

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def build_session(cores: str | int = "*", **settings: str) -> SparkSession:
-    """A local session with the settings the library is tested under."""
+def build_session(cores: str | int | None = None, **settings: str) -> SparkSession:
+    """A session with the settings the library is tested under.
+
+    With ``cores`` it is a local one; without, the master is what the submitting command or
+    the environment says, and local only if they say nothing.
+    """
+    builder = SparkSession.builder
+    if cores is not None:
+        builder = builder.master(f"local[{cores}]")
+    elif not SparkConf().contains("spark.master"):
+        builder = builder.master(os.environ.get("MASTER", "local[*]"))
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName("verbena")
+        builder.appName("verbena")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Few bytes can be much work (arrays, hashes): keep all cores busy on small data.

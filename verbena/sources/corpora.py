@@ -16,16 +16,19 @@ DATASET_OF_PATH = r"(?:dataset=)?([^/=]+?)(?:/part-[^/]*|\.txt(?:\.gz)?)?$"
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, line_no (0-based, the true place in its file), text.
 
-    A task numbers the lines of its split as it reads them; what comes before the split
+    The files are read once: a task numbers the lines of its split as it writes them to the shared
+    folder, so the numbers stay true however later jobs are planned. What comes before the split
     in its file is added from a table with one row per split. No line is sorted for this,
     nor shuffled unless there are too many splits to broadcast.
     """
+    encoded = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
     lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("path"),
+        F.url_decode(encoded).alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
         F.col("value").alias("text"),
     )
+    lines = written(lines, "lines")
     before = (
         Window.partitionBy("path")
         .orderBy("_block")
@@ -62,22 +65,39 @@ def read_corpus(spark: SparkSession, paths: str | list[str], role: str) -> DataF
     )
 
 
+def full_path(spark: SparkSession, path: str) -> str:
+    """A path with its scheme and one slash after it, if it is one of this machine."""
+    jvm = spark._jvm
+    given = jvm.org.apache.hadoop.fs.Path(path)
+    system = given.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "file:/", system.makeQualified(given).toString())
+
+
 def read_test_passes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """pass_no, dataset, path, line_no, text for an ordered list of test files.
+    """pass_no, dataset, path, line_no, text for an ordered list of test files or folders.
 
-    A file listed twice is read once and gives two passes.
+    A file listed twice is read once and gives two passes. Files are known by their whole path,
+    so those of one name in different folders are different tests.
     """
     numbers: dict[str, list[int]] = {}
     for pass_no, path in enumerate(paths):
-        numbers.setdefault(path.rstrip("/"), []).append(pass_no)
-    by_name = {re.search(DATASET_OF_PATH, path).group(1): passes for path, passes in numbers.items()}
-    if len(by_name) < len(numbers):
-        raise ValueError("two different test files share a name")
-    of_dataset = F.create_map(
-        *[part for name, passes in by_name.items() for part in (F.lit(name), F.lit(passes))]
+        numbers.setdefault(full_path(spark, path.rstrip("/")), []).append(pass_no)
+    listed = F.array(
+        *[
+            F.struct(F.lit(path).alias("path"), F.lit(passes).alias("passes"))
+            for path, passes in numbers.items()
+        ]
+    )
+    path = F.regexp_replace("path", "^file:/+", "file:/")
+    own = F.filter(
+        listed, lambda x: (path == x["path"]) | path.startswith(F.concat(x["path"], F.lit("/")))
+    )
+    unknown = F.raise_error(F.concat(F.lit("not a listed test: "), path)).cast("array<int>")
+    passes = F.when(F.size(own) == 0, unknown).otherwise(
+        F.flatten(F.transform(own, lambda x: x["passes"]))
     )
     return read_corpus(spark, list(numbers), "test").select(
-        F.explode(F.element_at(of_dataset, F.col("dataset"))).alias("pass_no"),
+        F.explode(passes).alias("pass_no"),
         "dataset",
         "path",
         "line_no",
