@@ -49,7 +49,8 @@ PATTERNS = {
 KINDS = [*PATTERNS]
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # What a text must hold for a mention: cheap to look for.
-HINT = f"@|[0-9]{{3}}|[0-9]\\.[0-9]|(?:{ALL_TITLES})\\.? [{UPPER}]"
+INITIALS = "".join(sorted({t[0] for own in TITLES.values() for t in own}))
+HINT = f"@|[0-9](?:[0-9]{{2}}|\\.[0-9])|(?=[{INITIALS}])(?:{ALL_TITLES})\\.? [{UPPER}]"
 
 # Scripts: first letter and number of letters of small and capital alphabets.
 SCRIPTS = [
