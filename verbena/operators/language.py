@@ -195,6 +195,21 @@ def kl_to_baseline(
     )
 
 
+def anchor_penalty(model: DataFrame, weight: float) -> DataFrame:
+    """Mean KL to the base over the anchor (base) tokens, training loss, and their total.
+
+    ``model`` has a row per pair with n_train, n_base, p_base and p_model.
+    """
+    n = F.col("n_base")
+    sums = model.agg(
+        F.sum(n).alias("anchor_tokens"),
+        (F.sum(n * (F.ln("p_base") - F.ln("p_model"))) / F.sum(n)).alias("kl"),
+        (F.sum(-F.col("n_train") * F.ln("p_model")) / F.sum("n_train")).alias("train_loss"),
+    )
+    total = F.col("train_loss") + float(weight) * F.col("kl")
+    return sums.withColumn("total_loss", total)
+
+
 def total_loss(losses: DataFrame, weights: dict[str, float], run: list[str]) -> DataFrame:
     """Weighted sum of the losses of each run (columns loss_class, value).
 

@@ -9,6 +9,7 @@ from verbena.operators.grid import condition_cube, pair_with_baseline
 from verbena.operators.joins import lookup
 from verbena.operators.language import (
     adapt_lm,
+    anchor_penalty,
     cloze_candidates,
     cloze_scores,
     contexts_of_pairs,
@@ -252,11 +253,15 @@ KL_SQL = "sum(p_base * (ln(p_base) - ln((p_train + 1.5 * p_base) / 2.5)))"
               FROM uni)
     SELECT dataset, sum(n)::BIGINT AS tokens, round(sum(-n * ln(p_base)) / sum(n), 6) AS base_loss,
            round(sum(-n * ln(p_model)) / sum(n), 6) AS model_loss,
-           round(any_value(kl), 6) AS kl, round(any_value(loss + 1.5 * kl), 6) AS total_loss
+           round(any_value(kl), 6) AS unigram_kl,
+           round(any_value(loss + 1.5 * kl), 6) AS unigram_total_loss
     FROM seen CROSS JOIN train WHERE n > 0 GROUP BY dataset""",
 )
 def adapt_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One pair table gives the models, their KL, the training loss and the test losses."""
+    """One pair table gives the models, their KL, the training loss and the test losses.
+
+    Test losses are those of the bigram; the penalty of the bigram itself is ``anchor_kl``.
+    """
     pairs = test_pairs(spark, sf_dir)
     words, contexts = models_of_pairs(pairs, PARTS + TESTS)
     tested = pairs.filter(" + ".join(f"n_{t}" for t in TESTS) + " > 0")
@@ -281,11 +286,34 @@ def adapt_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tokens",
         F.round(F.col("_base") / F.col("tokens"), 6).alias("base_loss"),
         F.round(F.col("_model") / F.col("tokens"), 6).alias("model_loss"),
-        F.round(sweep.getField("kl"), 6).alias("kl"),
-        F.round(sweep.getField("total_loss"), 6).alias("total_loss"),
+        F.round(sweep.getField("kl"), 6).alias("unigram_kl"),
+        F.round(sweep.getField("total_loss"), 6).alias("unigram_total_loss"),
     )
 
 
+@query(
+    "anchor_kl",
+    f"""WITH {DOC_SQL}, adapted AS (
+      SELECT n_train, n_base, p_base, (p_train + 1.5 * p_base) / 2.5 AS p_model FROM big),
+    sums AS (SELECT sum(n_base)::BIGINT AS anchor_tokens,
+                    sum(n_base * (ln(p_base) - ln(p_model))) / sum(n_base) AS kl,
+                    sum(-n_train * ln(p_model)) / sum(n_train) AS train_loss
+             FROM adapted)
+    SELECT anchor_tokens, round(kl, 6) AS kl, round(train_loss, 6) AS train_loss,
+           round(train_loss + 1.5 * kl, 6) AS total_loss FROM sums""",
+)
+def bigram_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The KL penalty and the total loss of the adapted bigram, the model that is tested.
+
+    The anchors are the base texts, every token of them: the mean of ln p_base - ln p_model over
+    the pairs that occur, by their counts, so no distribution over all words is built.
+    """
+    model = adapt_lm(document_bigrams(spark, sf_dir), WEIGHT)
+    sums = anchor_penalty(model, WEIGHT)
+    rounded = [F.round(c, 6).alias(c) for c in ("kl", "train_loss", "total_loss")]
+    return sums.select("anchor_tokens", *rounded)
+
+
 @query(
     "lm_loss_by_dataset",
     f"""WITH {TEST_SQL},
