@@ -35,9 +35,10 @@ from verbena.session import written
 
 K = 32  # neighbours kept for a node
 REVERSE = 32  # nodes that name it, at most, in a comparison
-TABLES = 4  # sets of projections for the first graph
+TABLES = 8  # sets of projections for the first graph
+FIRST = 16  # neighbours that a block of the first graph gives a node
 BLOCK = 128  # vectors compared with each other in the first graph
-ROUNDS = 5
+ROUNDS = 4
 WIDE = 128  # best nodes kept in a search
 STEP = 48  # nodes opened in a hop
 NEAREST = 20
@@ -125,7 +126,7 @@ def first_graph(nodes: DataFrame, total: int, dims: int) -> DataFrame:
                     b = min(end, a + BLOCK + BLOCK // 2)
                     near = x[a:b] @ x[a:b].T
                     np.fill_diagonal(near, -np.inf)
-                    k = min(K, b - a - 1)
+                    k = min(FIRST, b - a - 1)
                     if k < 1:
                         continue
                     best = np.argpartition(-near, k - 1, axis=1)[:, :k]
