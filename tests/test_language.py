@@ -81,7 +81,7 @@ def test_unigram_is_add_one_and_sums_to_one(model):
 def join_path(request, monkeypatch):
     """Each lookup once as for a small table and once as for a large one."""
     if request.param == "hot keys":
-        monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
         monkeypatch.setattr(joins, "HOT_KEYS", 2)
 
 

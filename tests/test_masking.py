@@ -83,7 +83,7 @@ def test_overlapping_lists_hide_a_word_once(text):
 
 @pytest.mark.parametrize("rows", [0, 1_000_000])
 def test_list_and_table_agree(spark, sf_dir, monkeypatch, rows):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", rows)
     monkeypatch.setattr(joins, "HOT_KEYS", 2)
     tokens = tokenize(read(spark, sf_dir, "documents"), ["doc_id"])
     words = STAND_INS["own_a"] + STAND_INS["own_a"]

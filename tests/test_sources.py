@@ -35,7 +35,7 @@ def test_gzip_lines_keep_their_place(spark, tmp_path):
 
 @pytest.mark.parametrize("rows", [0, 1_000_000])
 def test_plain_lines_over_many_splits(spark, tmp_path, monkeypatch, rows):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", rows)
     monkeypatch.setattr(joins, "HOT_KEYS", 2)
     lines = [f"line {i} " + "x" * (i % 90) for i in range(20_000)]
     (tmp_path / "long.txt").write_text("".join(f"{line}\n" for line in lines))

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 16_000_000
 
 
-def is_small(df: DataFrame, width: int = 1) -> bool:
-    """Whether a written table, of ``width`` values a row, may be broadcast whole."""
-    return df.count() * width <= BROADCAST_ROWS
+def is_small(df: DataFrame) -> bool:
+    """Whether a written table may be broadcast whole, by the bytes of its files.
+
+    The optimizer knows them from the file listing, so no job is run.
+    """
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes())) <= BROADCAST_BYTES
 
 
 def hot_key_join(
@@ -57,16 +61,15 @@ def lookup(
     on: list[str],
     salt: list[str],
     degree: str | None = None,
-    width: int = 1,
 ) -> DataFrame:
     """Left join to a written table with one row per key.
 
-    A table that is small by its row count is broadcast, and no row of ``left`` moves.
+    A table that is small by its files is broadcast, and no row of ``left`` moves.
     Any other goes through ``hot_key_join``; the degrees are counted unless ``right``
     has them.
     """
     values = [c for c in right.columns if c not in (*on, degree)]
-    if is_small(right, width):
+    if is_small(right):
         return left.join(F.broadcast(right.select(*on, *values)), on, "left").select(
             *left.columns, *values
         )

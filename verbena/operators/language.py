@@ -342,9 +342,9 @@ def cloze_scores(
     sided = slots.withColumn("_left", F.when(~_hidden("left"), F.col("left"))).withColumn(
         "_right", F.when(~_hidden("right"), F.col("right"))
     )
-    salt, width = slots.columns, len(listed)
-    near = lookup(sided, written(lefts, "lefts"), ["_left"], salt, "_degree", width)
-    both = lookup(near, written(rights, "rights"), ["_right"], salt, "_degree", width)
+    salt = slots.columns
+    near = lookup(sided, written(lefts, "lefts"), ["_left"], salt, "_degree")
+    both = lookup(near, written(rights, "rights"), ["_right"], salt, "_degree")
     raw = F.when(F.col("_to_right").isNull(), F.col("_from_left")).otherwise(
         F.zip_with("_from_left", "_to_right", lambda a, b: a * b)
     )
