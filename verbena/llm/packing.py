@@ -28,7 +28,7 @@ from verbena.session import written
 
 CAPACITY = 1024
 END = 2  # the id after each document
-CHUNK = 50_000  # pieces that are numbered together
+CHUNK = 4_000  # pieces that are numbered together
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
