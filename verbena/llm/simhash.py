@@ -121,7 +121,8 @@ def near_pairs(nodes: DataFrame, fingerprint: str = "fp", bits: int = BITS) -> D
     there = visits.select("anchor", F.col(fingerprint).alias("b"))
     differing = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     near = (F.col("a") != F.col("b")) & (differing <= bits)
-    pairs = here.join(there, (here["anchor"] == there["anchor"]) & near)
+    # The visits are many times the table they come from, by whose size the planner would judge them.
+    pairs = here.join(there.hint("merge"), (here["anchor"] == there["anchor"]) & near)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
