@@ -3,7 +3,8 @@
 A unit is a run of white space with the run of other characters after it. The tokenizers used here
 never put a token over the border before a run of white space, and their added tokens hold none, so
 the ids of a text are the ids of its units one after the other. Each worker asks the tokenizer for
-a unit once and keeps the answer until the store is full, when it starts anew.
+a unit once and keeps the answer. The store has two halves: when the new one is full it becomes the
+old one, and units that are met again move back, so frequent units stay.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from array import array
 
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-STORED = 250_000  # units kept by a worker
+STORED = 200_000  # units in each half of a worker's store
 LONGEST = 48  # characters of a unit that is kept
 
 _open: dict[str, Units] = {}
@@ -108,6 +109,7 @@ class Units:
         layout = json.loads(self.tokenizer.to_str())
         self.quick = MergeRanks.of(layout)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def fresh(self, units: set[str]) -> dict[str, bytes]:
         """Units and their ids, from the merges where they serve and the tokenizer elsewhere."""
@@ -121,12 +123,14 @@ class Units:
         """The ids of each unit as little-endian 32-bit numbers."""
         found = list(map(self.known.get, units))
         if None in found:
-            fresh = self.fresh({u for u, ids in zip(units, found, strict=True) if ids is None})
+            missing = {u for u, ids in zip(units, found, strict=True) if ids is None}
+            fresh = {u: self.older[u] for u in missing if u in self.older}
+            fresh |= self.fresh(missing - fresh.keys())
             found = [
                 fresh[u] if ids is None else ids for u, ids in zip(units, found, strict=True)
             ]
             if len(self.known) + len(fresh) > STORED:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known.update((u, ids) for u, ids in fresh.items() if len(u) <= LONGEST)
         return found
 
