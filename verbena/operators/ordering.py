@@ -113,11 +113,11 @@ def hash_rank(
     that a group of all rows has about ``CHUNK_ROWS`` in each.
     """
     if digits is None:
-        digits = 0
+        digits = 1
         rows = df.count()
         while rows > CHUNK_ROWS * 16**digits:
             digits += 1
-    chunked = df.withColumn("_chunk", F.substring(hashed, 1, digits) if digits else F.lit(""))
+    chunked = df.withColumn("_chunk", F.substring(hashed, 1, digits))
     ranked = running(chunked, keys, "_chunk", [hashed, *tiebreak], {rank: running_count()})
     return ranked.drop("_chunk")
 
