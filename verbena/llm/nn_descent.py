@@ -38,8 +38,8 @@ REVERSE = 32  # nodes that name it, at most, in a comparison
 TABLES = 8  # sets of projections for the first graph
 FIRST = 16  # neighbours that a block of the first graph gives a node
 BLOCK = 128  # vectors compared with each other in the first graph
-ROUNDS = 4
-WIDE = 128  # best nodes kept in a search
+ROUNDS = 6
+WIDE = 160  # best nodes kept in a search
 STEP = 48  # nodes opened in a hop
 NEAREST = 20
 SEED = 17
