@@ -147,12 +147,20 @@ def near_groups(
         "fingerprints",
     )
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(near_pairs(nodes))
-    grouped = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
+    return grouped(marked, nodes, near_pairs(nodes, bits=bits))
+
+
+def grouped(marked: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``doc_id, row_hash, fp, component_id`` of ``marked`` (doc_id, row_hash, fp).
+
+    ``nodes``: fp and the least id of its documents. ``links``: a, b, both an fp.
+    """
+    roots = components(links)
+    joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
-    ids = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(ids, "root").select("fp", "component_id")
+    ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = joined.join(ids, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "row_hash", "fp", "component_id")
 
 
@@ -165,7 +173,11 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     A null id counts as larger than any other; of equal rows one stays.
     """
-    groups = near_groups(docs, text, key)
+    return kept_rows(docs, near_groups(docs, text, key), key)
+
+
+def kept_rows(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """The row with the least id of each of the ``groups`` (doc_id, row_hash, fp, component_id)."""
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
     # A group is its component; a group of null ids alone is its fingerprints.
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
