@@ -8,7 +8,8 @@ own: ``Mr Ivo Renn`` and ``Mr Renn`` keep the same family name.
 Each distinct entity gets one surrogate from a keyed hash: digits for digits, letters for letters of
 the same script and case, octets for octets, and a name of the same gender and script. Surrogates
 are checked over the whole table: if two entities share one, or one equals a real entity, all but
-the smallest entity draw again until none clash, so distinct entities stay distinct. A mention
+the smallest entity draw again until none clash, so distinct entities stay distinct; names and mail
+addresses grow with each draw, so there are always places left. A mention
 then gets its entity's surrogate in the mention's own format.
 
 The parts that are joined are entities and mentions; texts without a mention are not moved.
@@ -21,6 +22,8 @@ empty table gives no rows. Further columns are kept; ``entities`` gets a spare n
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ from verbena.llm.support import let, spare, text_of
 from verbena.session import written
 
 KEY = "verbena"
-MOST_DRAWS = 40
+STUCK = 40  # rounds in a row that settle nothing: a format has no free place left
 
 # Titles by gender; the name after one is given name and family name, or family name alone.
 TITLES = {
@@ -104,17 +107,20 @@ def shaped(form: Column, seed: Column) -> Column:
     return F.array_join(F.transform(F.split(form, ""), other), "")
 
 
-def named(kind: Column, form: Column, seed: Column) -> Column:
-    """A name of the kind's gender in the script of the original."""
+def named(kind: Column, form: Column, seed: Column, draws: Column) -> Column:
+    """A name of the kind's gender in the script of the original, a syllable longer at each draw."""
 
     def made(script: str) -> Column:
         syllables = F.split(F.lit(SYLLABLES[script]), " ")
-        parts = [F.get(syllables, draw(seed, k, F.size(syllables)).cast("int")) for k in range(3)]
+        parts = F.transform(
+            F.sequence(F.lit(0), draws + 2),
+            lambda k: F.get(syllables, draw(seed, k, F.size(syllables)).cast("int")),
+        )
         ending = F.element_at(
             F.create_map(*[F.lit(x) for kv in ENDINGS[script].items() for x in kv]),
             F.substring_index(kind, "_", -1),
         )
-        return F.initcap(F.concat(*parts, ending))
+        return F.initcap(F.concat(F.array_join(parts, ""), ending))
 
     return (
         F.when(form.rlike("[А-Яа-я]"), made("cyrillic"))
@@ -131,9 +137,11 @@ def surrogate(kind: Column, form: Column, draws: Column) -> Column:
     host_seed = F.concat_ws("|", F.lit("host"), host)
     label = F.concat(F.lit("."), F.substring_index(host, ".", -1))
     stem = F.substring(host, F.lit(1), F.length(host) - F.length(label))
-    mail = F.concat(
-        shaped(F.substring_index(form, "@", 1), seed), F.lit("@"), shaped(stem, host_seed), label
-    )
+    # Each further draw makes the part before the host longer, by what it ends with.
+    local = F.substring_index(form, "@", 1)
+    more = F.when(local.rlike("[0-9]$"), F.lit("0")).otherwise(F.lit("a"))
+    local = F.concat(local, F.repeat(more, draws))
+    mail = F.concat(shaped(local, seed), F.lit("@"), shaped(stem, host_seed), label)
     octets = F.transform(F.split(form, r"\."), lambda _, i: (draw(seed, i, 254) + 1).cast("string"))
     # The first digit of a card tells its kind, the last ten digits of a phone number the line.
     card = F.concat(F.substring(form, 1, 1), shaped(F.substring(form, 2, 99), seed))
@@ -142,7 +150,7 @@ def surrogate(kind: Column, form: Column, draws: Column) -> Column:
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", card)
         .when(kind == "phone", shaped(form, seed))
-        .otherwise(named(kind, form, seed))
+        .otherwise(named(kind, form, seed, draws))
     )
 
 
@@ -207,13 +215,14 @@ def laid(mention: Column, kind: Column, forms: Column) -> Column:
 def assign(entities: DataFrame) -> DataFrame:
     """``kind, form, surrogate`` of distinct entities; surrogates of a kind are distinct.
 
-    Clashing entities draw again; those that are settled are looked at as taken.
+    Clashing entities draw again; those that are settled are looked at as taken. Names and mail
+    addresses get more places at each draw, so they always settle.
     """
-    spark = entities.sparkSession
     originals = written(entities.select("kind", "form").distinct(), "entities")
     done = None
     open_ = originals
-    for draws in range(MOST_DRAWS):
+    stuck = 0
+    for draws in count():
         drawn = open_.withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.lit(draws)))
         taken = originals.select("kind", F.col("form").alias("surrogate"))
         if done is not None:
@@ -227,7 +236,10 @@ def assign(entities: DataFrame) -> DataFrame:
         open_ = written(open_.join(won, ["kind", "form"], "left_anti"), "clashes")
         if open_.isEmpty():
             return done.select("kind", "form", "surrogate")
-    raise RuntimeError(f"{MOST_DRAWS} draws left clashes: {spark.sparkContext.appName}")
+        stuck = stuck + 1 if won.isEmpty() else 0
+        if stuck == STUCK:
+            kinds = [r["kind"] for r in open_.select("kind").distinct().collect()]
+            raise RuntimeError(f"no free surrogates left: {', '.join(sorted(kinds))}")
 
 
 def replace_entities(docs: DataFrame, text: str = "text", out: str = "entities") -> DataFrame:
