@@ -33,3 +33,65 @@ def test_more_entities_than_short_surrogates(spark):
     assert out.join(every.select("kind", F.col("form").alias("surrogate")), ["kind", "surrogate"]).isEmpty()
     shapes = out.filter("form like '%@host.example.com'").collect()
     assert all(re.fullmatch(r"[0-9]{2,}@[a-z]{4}\.[a-z]{7}\.com", r["surrogate"]) for r in shapes)
+
+
+PHONES = [
+    "+33 6 12 34 56 78",
+    "+44 20 7946 0958",
+    "+44 (0)20 7946 0958",
+    "+49 30 1234567",
+    "+34 612 345 678",
+    "+34612345678",
+    "0034 612 345 678",
+    "+351 21 123 4567",
+    "06 12 34 56 78",
+    "020 7946 0958",
+    "030 1234567",
+    "06.12.34.56.78",
+    "555.123.4567",
+    "(555)123-4567",
+    "+1 (269) 555-3296",
+]
+PLAIN = ["2024-01-15", "01.02.2024 10", "1.2.3.4.5", "123 456", "3.0123456789", "1 000 000", "12:30:45", "+5 or 00"]
+
+
+def anonymised(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r for r in pii.replace_entities(docs).collect()}
+
+
+def test_phone_formats(spark):
+    texts = [f"Call {p}, please." for p in PHONES] + [f"On {p}, so." for p in PLAIN]
+    found = anonymised(spark, texts)
+    for k, text in enumerate(texts):
+        row = found[k]
+        if k >= len(PHONES):
+            assert row["text"] == text and not row["entities"], text
+            continue
+        assert [(e["kind"], e["start"], e["end"]) for e in row["entities"]] == [("phone", 5, 5 + len(PHONES[k]))]
+        assert row["text"] != text
+        assert re.sub("[0-9]", "0", row["text"]) == re.sub("[0-9]", "0", text)
+    digits = lambda k, n: re.sub("[^0-9]", "", found[k]["text"])[-n:]
+    of = PHONES.index
+    assert digits(of("+33 6 12 34 56 78"), 9) == digits(of("06 12 34 56 78"), 9)
+    assert digits(of("+44 20 7946 0958"), 10) == digits(of("020 7946 0958"), 10)
+    assert digits(of("+44 (0)20 7946 0958"), 10) == digits(of("020 7946 0958"), 10)
+    assert digits(of("+34 612 345 678"), 9) == digits(of("0034 612 345 678"), 9)
+
+
+def test_names_without_a_title(spark):
+    texts = [
+        "Ivo Renn came. Mr Ivo Renn left; Renn and Ivo, not Renner nor Renn-Ott.",
+        "Ivo Renn is not known here.",
+        "Господин Иванов и Иванов. ivo@renn.org and Mrs Renn.",
+    ]
+    found = anonymised(spark, texts)
+    m = re.fullmatch(r"(\w+) (\w+) came\. Mr (\w+) (\w+) left; (\w+) and (\w+), not Renner nor Renn-Ott\.", found[0]["text"])
+    given, family = m[1], m[2]
+    assert given != "Ivo" and family != "Renn"
+    assert (m[3], m[4], m[5], m[6]) == (given, family, family, given)
+    spans = [(e["kind"], texts[0][e["start"] : e["end"]]) for e in found[0]["entities"]]
+    assert spans == [("name", x) for x in ("Ivo", "Renn", "Mr Ivo Renn", "Renn", "Ivo")]
+    assert found[1]["text"] == texts[1]
+    m = re.fullmatch(r"Господин (\w+) и (\w+)\. [a-z]+@[a-z]+\.org and Mrs (\w+)\.", found[2]["text"])
+    assert m[1] == m[2] != "Иванов" and m[3] == family

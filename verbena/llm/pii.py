@@ -1,6 +1,7 @@
 """Surrogates for personal data (native).
 
-Found are mail addresses, phone numbers, card numbers, IPv4 addresses and names after a title. An
+Found are mail addresses, phone numbers, card numbers, IPv4 addresses, names after a title and, in the
+same text, the parts of such a name wherever they stand. An
 entity is its kind and its normal form (digits alone for numbers, lower case for addresses), so
 different spellings of one number stay one entity, and the parts of a name are entities of their
 own: ``Mr Ivo Renn`` and ``Mr Renn`` keep the same family name.
@@ -42,18 +43,26 @@ TITLES = {
 UPPER, LOWER = "A-ZÀ-ÖØ-ÞА-ЯΑ-Ω", "a-zß-öø-ÿа-яά-ώ"
 NAME = f"[{UPPER}][{LOWER}]+(?:-[{UPPER}][{LOWER}]+)?"
 ALL_TITLES = "|".join(t for own in TITLES.values() for t in own)
+# Phone numbers: 3, 3 and 4 digits; + or 00 and 8 to 15 digits; a leading 0 and 9 to 11 digits, no date.
+BETWEEN = r"(?:[ .-]?\(|\)[ .-]?|[ .-])?"
+AREA = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+ABROAD = rf"(?:\+|00[ .-]?)[1-9](?:{BETWEEN}[0-9]){{7,14}}"
+DATE = r"[0-9]{2}[ .-][0-9]{2}[ .-][12][0-9]{3}(?![0-9])"
+AT_HOME = rf"(?<![0-9][.,-])(?!{DATE})\(?0[1-9](?:{BETWEEN}[0-9]){{7,9}}"
+# Country codes of one and two digits; the others have three.
+COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ -][0-9]{3}[ -][0-9]{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])",
+    "phone": f"(?<![0-9A-Za-z+])(?:{AREA}|{ABROAD}|{AT_HOME})(?![0-9A-Za-z])",
     "name": f"(?<![{UPPER}{LOWER}])(?:{ALL_TITLES})\\.? {NAME}(?: {NAME})?",
 }
 KINDS = [*PATTERNS]
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # What a text must hold for a mention: cheap to look for.
 INITIALS = "".join(sorted({t[0] for own in TITLES.values() for t in own}))
-HINT = f"@|[0-9](?:[0-9]{{2}}|\\.[0-9])|(?=[{INITIALS}])(?:{ALL_TITLES})\\.? [{UPPER}]"
+HINT = f"@|[0-9](?:[0-9]{{2}}|\\.[0-9])|\\+[1-9]|0[0-9][ .-]?[(0-9]|(?=[{INITIALS}])(?:{ALL_TITLES})\\.? [{UPPER}]"
 
 # Scripts: first letter and number of letters of small and capital alphabets.
 SCRIPTS = [
@@ -155,16 +164,27 @@ def surrogate(kind: Column, form: Column, draws: Column) -> Column:
 
 
 def kind_of(mention: Column) -> Column:
+    """The kind of a mention; a name without its title is none of the patterns."""
     kinds = None
     for kind in KINDS:
         whole = mention.rlike(f"^(?:{PATTERNS[kind]})$")
         kinds = (F.when if kinds is None else kinds.when)(whole, F.lit(kind))
-    return kinds
+    return kinds.otherwise(F.lit("name"))
 
 
-def entities_of(mention: Column) -> Column:
-    """The entities of a mention, in its order: one, or the parts of a name."""
-    digits = F.regexp_replace(mention, "[^0-9]", "")
+def line_of(mention: Column, digits: Column) -> Column:
+    """The digits of a phone number without what depends on where it is called from."""
+    home = F.regexp_replace(digits, "^0", "")
+    abroad = F.regexp_replace(digits, f"^(?:00)?(?:{COUNTRY})0?", "")
+    return (
+        F.when(mention.rlike(f"^(?:{AREA})$"), F.substring(digits, -10, 10))
+        .when(mention.rlike(r"^(?:\+|00)"), abroad)
+        .otherwise(home)
+    )
+
+
+def parts_of(mention: Column) -> Column:
+    """The entities of a name after a title: given name and family name, or family name alone."""
     words = F.split(mention, " ")
     title = F.regexp_replace(F.get(words, 0), r"\.", "")
     gender = None
@@ -175,14 +195,37 @@ def entities_of(mention: Column) -> Column:
     )
     given = F.struct(gender.alias("kind"), F.get(words, 1).alias("form"))
     name = F.when(F.size(words) == 3, F.array(given, family)).otherwise(F.array(family))
+    return name.cast(f"array<{ENTITY}>")
+
+
+def revealed_by(found: Column) -> Column:
+    """The entities of the names that stand after a title, each form once."""
+    titled = F.filter(found, lambda m: m.rlike(f"^(?:{PATTERNS['name']})$"))
+    parts = F.array_sort(F.flatten(F.transform(titled, parts_of)))
+    forms = F.array_distinct(F.transform(parts, lambda p: p["form"]))
+    return F.transform(forms, lambda form: F.get(F.filter(parts, lambda p: p["form"] == form), F.lit(0)))
+
+
+def any_of(revealed: Column) -> Column:
+    """The pattern of all mentions in a text with the names that its titles reveal."""
+    words = F.array_join(F.transform(revealed, lambda p: p["form"]), "|")
+    more = F.concat(F.lit(f"{ANY}|(?<![{UPPER}{LOWER}-])(?:"), words, F.lit(f")(?![{UPPER}{LOWER}-])"))
+    return F.when(F.size(revealed) > 0, more).otherwise(F.lit(ANY))
+
+
+def entities_of(mention: Column, revealed: Column) -> Column:
+    """The entities of a mention, in its order: one, or the parts of a name."""
+    digits = F.regexp_replace(mention, "[^0-9]", "")
+    known = F.filter(revealed, lambda p: p["form"] == mention)
+    name = F.when(F.instr(mention, " ") > 0, parts_of(mention)).otherwise(known)
     form = (
         F.when(F.col("kind") == "email", F.lower(mention))
-        .when(F.col("kind") == "phone", F.substring(digits, -10, 10))
+        .when(F.col("kind") == "phone", line_of(mention, digits))
         .when(F.col("kind") == "card", digits)
         .otherwise(mention)
     )
     one = F.array(F.struct(F.col("kind"), form.alias("form")))
-    return F.when(F.col("kind") == "name", name).otherwise(one).cast(f"array<{ENTITY}>")
+    return F.when(F.col("kind") == "name", name).otherwise(one.cast(f"array<{ENTITY}>"))
 
 
 def laid(mention: Column, kind: Column, forms: Column) -> Column:
@@ -203,7 +246,8 @@ def laid(mention: Column, kind: Column, forms: Column) -> Column:
 
     number = F.aggregate(chars, start, step, lambda a: a["out"])
     mail = F.when(mention == F.upper(mention), F.upper(form)).otherwise(form)
-    name = F.concat_ws(" ", F.substring_index(mention, " ", 1), F.array_join(forms, " "))
+    title = F.when(F.instr(mention, " ") > 0, F.substring_index(mention, " ", 1))
+    name = F.concat_ws(" ", title, F.array_join(forms, " "))
     return (
         F.when(kind == "email", mail)
         .when(kind == "ip", form)
@@ -255,16 +299,26 @@ def replace_entities(docs: DataFrame, text: str = "text", out: str = "entities")
     texts = rows.select(F.col(marked).alias("text_key"), value.alias("text")).dropDuplicates(
         ["text_key"]
     )
-    cut = texts.select(
-        "text_key",
-        F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias(found),
-        F.split("text", ANY, -1).alias("between"),
+    first = texts.select(
+        "*", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias(found)
     ).filter(F.size(found) > 0)
+    first = first.withColumn("revealed", revealed_by(F.col(found)))
+    # Texts whose titles reveal names are read again, for the names without a title.
+    every = any_of(F.col("revealed"))
+    again = F.when(
+        F.size("revealed") > 0, F.regexp_extract_all("text", every, F.lit(0))
+    ).otherwise(F.col(found))
+    cut = first.select(
+        "text_key",
+        "revealed",
+        again.alias(found),
+        F.split("text", every, -1).alias("between"),
+    )
     cut = written(cut, "mentions")
     mentions = (
-        cut.select("text_key", F.posexplode(found).alias("n", "mention"))
+        cut.select("text_key", "revealed", F.posexplode(found).alias("n", "mention"))
         .withColumn("kind", kind_of(F.col("mention")))
-        .withColumn("entities", entities_of(F.col("mention")))
+        .withColumn("entities", entities_of(F.col("mention"), F.col("revealed")))
     )
     parts = mentions.select("text_key", "n", F.posexplode("entities").alias("part", "entity"))
     parts = parts.select("text_key", "n", "part", "entity.kind", "entity.form")
@@ -301,7 +355,8 @@ def rebuild(found: Column, between: Column, forms: Column) -> Column:
     def step(a: Column, i: Column) -> Column:
         mention, gap = F.get(found, i), F.get(between, i)
         kind = kind_of(mention)
-        n = F.when(kind == "name", F.size(F.split(mention, " ")) - 1).otherwise(1)
+        parts = F.greatest(F.lit(1), F.size(F.split(mention, " ")) - 1)
+        n = F.when(kind == "name", parts).otherwise(1)
         own = F.transform(F.slice(forms, a["used"] + 1, n), lambda x: x["surrogate"])
         begin = a["at"] + F.length(gap)
         end = begin + F.length(mention)
