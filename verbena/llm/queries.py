@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verbena.llm import (
     bpe_chunks,
+    filter_audit,
     licenses,
     nn_descent,
     packing,
@@ -130,3 +131,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's licence, its own or that of the nearest directory."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return licenses.scan_licenses(licenses.document_paths(docs), licenses.templates_of(spark))
+
+
+@query("op13_filter_audit", filter_audit.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source, in all 120 orders."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return filter_audit.audit_filters(docs, labels)
