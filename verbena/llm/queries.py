@@ -14,6 +14,7 @@ from verbena.llm import (
     licenses,
     nn_descent,
     packing,
+    phrases,
     pii,
     quality,
     secrets,
@@ -139,3 +140,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return filter_audit.audit_filters(docs, labels)
+
+
+@query("op11_son_phrases", phrases.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of every language."""
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return phrases.collocations(docs)
