@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from verbena.llm import (
     bpe_chunks,
+    chat_tree,
     filter_audit,
     licenses,
     nn_descent,
@@ -147,3 +148,15 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of every language."""
     docs = table(spark, sf_dir, "documents").select("lang", "text")
     return phrases.collocations(docs)
+
+
+@query("op12_chat_tree", chat_tree.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's turns and loss texts, read back from the prefix trees."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = [(chat_tree.HARD_ID, k, r, chat_tree.HARD_TEXT) for k, r in enumerate(["user", "assistant"])]
+    added = rows.unionByName(
+        spark.createDataFrame(hard, "conv_id long, turn long, role string, text string")
+    )
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return chat_tree.read_back(chat_tree.prefix_trees(added, tokenizer), tokenizer)
