@@ -13,7 +13,9 @@ bitmap of at most 16 MB that the second pass asks; what passes by chance is coun
 like all else and falls below the support. So the counts, and the result, are exact at any size.
 
 The support is absolute, so a shard must hold more than a tenth of a language to have a lower
-support above one; hence few shards, each spread over many tasks, rather than one for each task.
+support above one, and each further shard lets more phrases pass: on 0.1 GB of documents 1,240,000
+with four shards and 518,000 with two, where 234,000 are frequent. Hence few shards, each
+spread over many tasks, rather than one for each task.
 
 Defined cases of :func:`collocations`. A null or empty text has no words, a null language is ``und``.
 Repeated rows count as often as they stand. Only A-Z are lower-cased. An empty table gives no rows.
@@ -35,9 +37,10 @@ from verbena.session import written
 SHORTEST = 2  # words of a phrase
 LONGEST = 3
 SUPPORT = 10
-SHARDS = 4
+SHARDS = 2
 COVERED = 50  # percent of a phrase's occurrences in a longer one that drop it
 FIRST = 2000  # phrases reported for a language
+DEALS = 16  # parts of a language that are ranked by themselves first
 
 BATCH_WORDS = 1_000_000
 BUCKET_PHRASES = 1 << 22  # phrases, repeats included, that a bucket of hashes is made for
@@ -438,8 +441,11 @@ def collocations(
     """``lang, rank, phrase, a, l, r, n, score`` of each language's best phrases."""
     phrases, totals = frequent_phrases(docs, text, lang, longest, support, shards)
     best = uncovered(weakest_cut(phrases))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)
+    ranked = best.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(DEALS)))
+    for own in (["lang", "deal"], ["lang"]):
+        order = Window.partitionBy(*own).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        ranked = ranked.withColumn("rank", F.row_number().over(order))
+        ranked = ranked.filter(F.col("rank") <= first)
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
