@@ -274,7 +274,8 @@ def cloze_scores(
     """Add ``scores``, one per candidate in the order of the alphabet, and their ``total``.
 
     The score is p(w | left) p(right | w), to be divided by the total; a neighbour that is
-    hidden or absent tells nothing. Each left word and each right word gets one array
+    hidden or absent tells nothing. For every candidate's score; the chance of the hidden
+    word alone needs no array (``cloze.cloze_chances``). Each left word and each right word gets one array
     over the candidates, and slots multiply two arrays: no row per slot and candidate
     is joined. ``words`` must hold the candidates and the words around the slots.
     """
@@ -364,13 +365,3 @@ def cloze_candidates(scored: DataFrame, candidates: list[str]) -> DataFrame:
     return scored.select(*kept, "total", F.inline(named)).select(
         *kept, "candidate", (F.col("score") / F.col("total")).alias("score")
     )
-
-
-def masked_loss(
-    scored: DataFrame, candidates: list[str], by: list[str], count: str = "n"
-) -> DataFrame:
-    """Mean -ln p of the hidden word, over hidden positions only."""
-    place = F.array_position(F.lit(sorted(set(candidates))), F.col("target")).cast("int")
-    chance = F.element_at("scores", place) / F.col("total")
-    logp = scored.withColumn("logp", F.ln(chance))
-    return lm_loss(logp, by, count=F.col(count)).withColumnRenamed("tokens", "slots")

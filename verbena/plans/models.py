@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbena.operators.cloze import cloze_chances, masked_loss
 from verbena.operators.grid import condition_cube, pair_with_baseline
 from verbena.operators.joins import lookup
 from verbena.operators.language import (
@@ -18,7 +19,6 @@ from verbena.operators.language import (
     joint_distribution,
     kl_to_baseline,
     lm_loss,
-    masked_loss,
     pair_counts,
     score_tokens,
     token_counts,
@@ -441,19 +441,16 @@ def sql_cloze(words: str) -> str:
     cloze AS (SELECT l, r, w, x / sum(x) OVER (PARTITION BY l, r) AS score FROM raw)"""
 
 
-def cloze_of_documents(
+def slots_of_documents(
     spark: SparkSession, sf_dir: str, words: list[str], keys: list[str]
 ) -> DataFrame:
-    """Scores of the distinct slots of some words under the base model."""
-    pairs = document_pairs(spark, sf_dir)
-    unigram, contexts = models_of_pairs(pairs, PARTS, extra=words)
+    """The distinct slots of some words and how often each stands in the documents."""
     docs = documents(spark, sf_dir, "source", "text")
-    slots = (
+    return (
         mask_targets(docs, ["source"], words)
         .groupBy(*keys, "target", "left", "right")
         .agg(F.count("*").alias("n"))
     )
-    return cloze_scores(written(slots, "slots"), words, pairs, unigram, contexts, "base")
 
 
 @query(
@@ -464,8 +461,12 @@ def cloze_of_documents(
     FROM summed s JOIN cloze c ON c.l IS NOT DISTINCT FROM s.l AND c.r IS NOT DISTINCT FROM s.r""",
 )
 def cloze_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = cloze_of_documents(spark, sf_dir, STAND_INS["own_c"], [])
-    return cloze_candidates(scored, STAND_INS["own_c"]).withColumn("score", F.round("score", 8))
+    words = STAND_INS["own_c"]
+    pairs = document_pairs(spark, sf_dir)
+    unigram, contexts = models_of_pairs(pairs, PARTS, extra=words)
+    slots = written(slots_of_documents(spark, sf_dir, words, []), "slots")
+    scored = cloze_scores(slots, words, pairs, unigram, contexts, "base")
+    return cloze_candidates(scored, words).withColumn("score", F.round("score", 8))
 
 
 @query(
@@ -478,9 +479,13 @@ def cloze_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY source""",
 )
 def losses_of_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's hidden words among all listed ones, by sums instead of candidates."""
     words = distinct_words(STAND_INS)
-    scored = cloze_of_documents(spark, sf_dir, words, ["source"])
-    losses = masked_loss(scored, words, ["source"])
+    pairs = document_pairs(spark, sf_dir)
+    unigram, contexts = models_of_pairs(pairs, PARTS, extra=words)
+    slots = slots_of_documents(spark, sf_dir, words, ["source"])
+    chances = cloze_chances(slots, pairs, unigram, contexts, ["base"], words)
+    losses = masked_loss(chances, ["source"], "q_base")
     return losses.withColumn("loss", F.round("loss", 6)).withColumn(
         "perplexity", F.round("perplexity", 4)
     )

@@ -29,6 +29,10 @@ def build_session(cores: str | int | None = None, **settings: str) -> SparkSessi
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Few bytes can be much work (arrays, hashes): keep all cores busy on small data.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # Once the sizes are known, a join whose partitions are all small needs no sort.
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
+        # The JVM never compiles methods of more bytecode; such a stage runs operator by operator.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
