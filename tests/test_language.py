@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from verbena.operators import joins
 from verbena.operators.language import (
     adapt_lm,
+    anchor_penalty,
+    bigram_sweep,
     cloze_candidates,
     cloze_scores,
     contexts_of_pairs,
@@ -16,6 +18,7 @@ from verbena.operators.language import (
     fit_unigram,
     joint_distribution,
     kl_to_baseline,
+    loss_classes,
     merged_counts,
     pair_counts,
     score_tokens,
@@ -159,6 +162,20 @@ def test_sweep_equals_single_runs(model):
         assert r.total_loss == pytest.approx(r.train_loss + r.weight * r.kl)
 
 
+def test_bigram_sweep_equals_single_models(model):
+    pairs, words, contexts = model
+    bigram = fit_bigram(pairs, words, contexts, PARTS)
+    classes = loss_classes(bigram)
+    assert classes.count() < bigram.count()
+    weights = [0.0, 0.5, 1.5, 8.0]
+    rows = {r.weight: r for r in bigram_sweep(classes, weights).collect()}
+    assert sorted(rows) == weights
+    for weight, r in rows.items():
+        alone = anchor_penalty(adapt_lm(bigram, weight), weight).first()
+        for name in ("train_loss", "kl", "total_loss"):
+            assert r[name] == pytest.approx(alone[name])
+
+
 def test_known_kl_of_the_documents(spark):
     """The adapted model of the first source on the middle tables."""
     model = adapt_lm(document_words(spark, "/root/testdata/sf0.01"), 1.5)

@@ -250,6 +250,45 @@ def weight_sweep(words: DataFrame, weights: list[float]) -> DataFrame:
     return words.agg(*sums).select(F.inline(rows))
 
 
+def loss_classes(model: DataFrame) -> DataFrame:
+    """What any KL weight needs to know of a bigram model: p_train, p_base, n_train, n_base.
+
+    Pairs of the same two chances are one row. Most pairs are rare words after rare words, which share
+    their counts, so the classes are far fewer than the pairs; write them to try weights on.
+    """
+    return model.groupBy("p_train", "p_base").agg(
+        F.sum("n_train").alias("n_train"), F.sum("n_base").alias("n_base")
+    )
+
+
+def bigram_sweep(classes: DataFrame, weights: list[float]) -> DataFrame:
+    """Training loss, KL to the base on the anchors and their total for many weights.
+
+    For each weight what ``anchor_penalty`` says of the bigram adapted with it, from one pass over
+    the written classes: every weight is two sums of that pass, and no row is copied.
+    """
+    train, base = F.col("n_train"), F.col("n_base")
+    sums = [F.sum(train).alias("_train"), F.sum(base).alias("_base")]
+    for i, weight in enumerate(weights):
+        model = F.ln(blended(F.col("p_train"), F.col("p_base"), weight))
+        sums += [
+            F.sum(-train * model).alias(f"_loss_{i}"),
+            F.sum(base * (F.ln("p_base") - model)).alias(f"_kl_{i}"),
+        ]
+    rows = []
+    for i, weight in enumerate(weights):
+        loss, kl = F.col(f"_loss_{i}") / F.col("_train"), F.col(f"_kl_{i}") / F.col("_base")
+        rows.append(
+            F.struct(
+                F.lit(float(weight)).alias("weight"),
+                loss.alias("train_loss"),
+                kl.alias("kl"),
+                (loss + float(weight) * kl).alias("total_loss"),
+            )
+        )
+    return classes.agg(*sums).select(F.inline(F.array(*rows)))
+
+
 def top_words(
     words: DataFrame, k: int, base: str = "p_base", model: str = "p_model"
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from verbena.operators.joins import lookup
 from verbena.operators.language import (
     adapt_lm,
     anchor_penalty,
+    bigram_sweep,
     cloze_candidates,
     cloze_scores,
     contexts_of_pairs,
@@ -19,6 +20,7 @@ from verbena.operators.language import (
     joint_distribution,
     kl_to_baseline,
     lm_loss,
+    loss_classes,
     pair_counts,
     score_tokens,
     token_counts,
@@ -401,6 +403,27 @@ def weights_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "bigram_weight_sweep",
+    f"""WITH {DOC_SQL}, swept AS (
+      SELECT weight, sum(-n_train * ln((p_train + weight * p_base) / (1 + weight))) / sum(n_train)
+               AS train_loss,
+             sum(n_base * (ln(p_base) - ln((p_train + weight * p_base) / (1 + weight)))) / sum(n_base)
+               AS kl
+      FROM big CROSS JOIN (VALUES (0.5::DOUBLE), (1.0), (1.5), (8.0), (257.0)) AS w(weight)
+      GROUP BY weight)
+    SELECT weight, round(train_loss, 6) AS train_loss, round(kl, 6) AS kl,
+           round(train_loss + weight * kl, 6) AS total_loss FROM swept""",
+)
+def bigram_weights_swept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights of ``weight_sweep`` for the model that is tested, the bigram."""
+    classes = written(loss_classes(document_bigrams(spark, sf_dir)), "classes")
+    sweep = bigram_sweep(classes, WEIGHTS)
+    return sweep.select(
+        "weight", *[F.round(c, 6).alias(c) for c in ("train_loss", "kl", "total_loss")]
+    )
+
+
 @query(
     "top_words",
     f"""WITH {DOC_SQL} SELECT token, round(p_base, 10) AS p_base,
