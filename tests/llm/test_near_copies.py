@@ -90,3 +90,31 @@ def test_odd_rows(spark):
     assert left.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 3, 6, 8, 9]
     assert near_copies.one_of_each(docs.limit(0)).count() == 0
+
+
+def star(leaves, edits, seed=2):
+    """A text and copies of it, each with a few words of its own, near it but not near each other."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(words))]
+    for k in range(1, leaves + 1):
+        own = list(words)
+        for place in rng.sample(range(150), rng.randrange(1, edits + 1)):
+            own[place] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_a_large_star_is_not_compared_in_pairs(spark, monkeypatch):
+    compared = []
+    similar = near_copies.similar
+
+    def counted(pairs, sets, least):
+        compared.append(pairs.count())
+        return similar(pairs, sets, least)
+
+    monkeypatch.setattr(near_copies, "similar", counted)
+    rows = star(600, 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert kept(near_copies.one_of_each(docs)) == sorted(brute_kept(dict(rows)))
+    assert sum(compared) < 10_000
