@@ -31,7 +31,8 @@ from verbena.llm.units import UNIT, Units, units_of
 
 BORDER_BITS = 11  # a border at one byte in 2**11
 WINDOW_STEPS = (1, 2, 4, 8)  # doubling gives a window of 16 bytes
-STORED_BYTES = 12_000_000  # text of the chunks that a worker keeps
+STORED_BYTES = 3_000_000  # text of the chunks that a worker keeps
+STORED_UNITS = 60_000  # units in each half of its store of units
 
 GEAR = np.random.default_rng(7).integers(0, 2**32, 256, np.uint32)
 
@@ -126,7 +127,7 @@ _stores: dict[str, ChunkStore] = {}
 
 def store_of(path: str) -> ChunkStore:
     if path not in _stores:
-        _stores[path] = ChunkStore(units_of(path))
+        _stores[path] = ChunkStore(units_of(path, STORED_UNITS))
     return _stores[path]
 
 

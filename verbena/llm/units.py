@@ -99,7 +99,7 @@ def plain(unit: str) -> bool:
 
 
 class Units:
-    def __init__(self, path: str):
+    def __init__(self, path: str, stored: int = STORED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -108,6 +108,7 @@ class Units:
         self.tokenizer.no_padding()
         layout = json.loads(self.tokenizer.to_str())
         self.quick = MergeRanks.of(layout)
+        self.stored = stored
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -129,7 +130,7 @@ class Units:
             found = [
                 fresh[u] if ids is None else ids for u, ids in zip(units, found, strict=True)
             ]
-            if len(self.known) + len(fresh) > STORED:
+            if len(self.known) + len(fresh) > self.stored:
                 self.older, self.known = self.known, {}
             self.known.update((u, ids) for u, ids in fresh.items() if len(u) <= LONGEST)
         return found
@@ -138,8 +139,8 @@ class Units:
         return b"".join(self.of_units(UNIT.findall(text)))
 
 
-def units_of(path: str) -> Units:
+def units_of(path: str, stored: int = STORED) -> Units:
     """The worker's store for a tokenizer file."""
     if path not in _open:
-        _open[path] = Units(path)
+        _open[path] = Units(path, stored)
     return _open[path]
