@@ -1,6 +1,7 @@
 """Readers, writers and streams."""
 
 import gzip
+from pathlib import Path
 
 import pytest
 
@@ -8,11 +9,21 @@ from verbena.operators import joins
 from verbena.operators.metrics import chunk_epochs, early_stop
 from verbena.operators.trials import latest_trial_state
 from verbena.sources.corpora import read_corpus, read_lines, read_test_passes
-from verbena.sources.journal import append_journal, read_journal
+from verbena.sources.journal import (
+    JournalSnapshot,
+    append_journal,
+    journal_files,
+    read_journal,
+)
 from verbena.sources.results import write_results
 from verbena.sources.scripts import read_run_configs
 from verbena.streaming.early_stop import stream_early_stop, write_stops
-from verbena.streaming.trials import current_rows, stream_latest_trials, write_updates
+from verbena.streaming.trials import (
+    compact_updates,
+    current_rows,
+    stream_latest_trials,
+    write_updates,
+)
 
 
 def gz(path, lines):
@@ -140,6 +151,47 @@ def test_streamed_journal_equals_replay(spark, tmp_path):
         assert streamed == {tuple(r) for r in replay.collect()}
 
 
+def test_compacted_updates_keep_the_current_rows(spark, tmp_path):
+    log, out, mark = (str(tmp_path / n) for n in ("log", "out", "checkpoint"))
+    seen = {}
+    for part in ([(1, 1, "a"), (2, 2, "a")], [(1, 4, "c")], [(3, 5, "a")], [(1, 3, "b"), (2, 6, "d")]):
+        append_journal(spark.createDataFrame(part, JOURNAL).coalesce(1), log)
+        for trial, seq, state in part:
+            seen[trial] = max(seen.get(trial, (0, "")), (seq, state))
+        stream = stream_latest_trials(spark, log, JOURNAL, ["trial"], "seq", ["state"])
+        write_updates(stream, out, mark).awaitTermination()
+        compact_updates(spark, out, ["trial"], "seq")
+        streamed = {r.trial: (r.seq, r.state) for r in current_rows(spark, out, ["trial"], "seq").collect()}
+        assert streamed == seen
+        assert len(list(Path(out).glob("batch=*"))) == 1
+
+
+def test_resume_reads_the_snapshot_and_newer_files(spark, tmp_path):
+    log = str(tmp_path / "log")
+    snapshot = JournalSnapshot(spark, str(tmp_path / "kept"), ["trial"], "seq", ["state"], JOURNAL)
+    assert snapshot.replay(log).count() == 0
+    seen = []
+    for turn, part in enumerate(
+        ([(1, 1, "a"), (2, 2, None)], [(1, 4, "c")], [(1, 3, "b"), (4, 9, "z")], [(2, 7, "y")])
+    ):
+        append_journal(spark.createDataFrame(part, JOURNAL), log)
+        seen += part
+        full = latest_trial_state(spark.createDataFrame(seen, JOURNAL), ["trial"], "seq", ["state"])
+        expected = {tuple(r) for r in full.collect()}
+        assert {tuple(r) for r in snapshot.replay(log).collect()} == expected
+        read = snapshot.newer(log)
+        snapshot.compact(log, keep=1)
+        assert read and not snapshot.newer(log) and len(snapshot.versions()) == 1
+        assert {tuple(r) for r in snapshot.replay(log).collect()} == expected
+        if turn == 1:
+            snapshot.clear(log)
+            assert journal_files(spark, log) == []
+    # A snapshot whose list of files is missing was lost half-way and doesn't count.
+    broken = tmp_path / "kept" / "99-lost" / "states"
+    broken.mkdir(parents=True)
+    assert {tuple(r) for r in snapshot.replay(log).collect()} == expected
+
+
 @pytest.mark.parametrize("run_type", ["long", "string"])
 def test_streamed_stops_equal_batch(spark, tmp_path, run_type):
     log, out, mark = (str(tmp_path / n) for n in ("log", "out", "checkpoint"))

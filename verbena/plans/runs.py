@@ -24,7 +24,7 @@ from verbena.operators.trials import (
 from verbena.plans.registry import query
 from verbena.plans.tables import METRICS, SEED, metrics, read
 from verbena.session import fresh_path, written
-from verbena.sources.journal import append_journal, read_journal
+from verbena.sources.journal import JournalSnapshot, append_journal, read_journal
 from verbena.streaming.early_stop import stream_early_stop, write_stops
 from verbena.streaming.trials import current_rows, stream_latest_trials, write_updates
 
@@ -238,6 +238,22 @@ def last_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_trial_state(entries, ["study", "trial"], "seq", ["state", "value"])
 
 
+@query("resume_from_snapshot", LATEST)
+def last_states_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search that stopped twice: each time its journal is compacted, and only newer files are read."""
+    path = fresh_path(spark, "journal-compacted")
+    log = journal(spark, sf_dir)
+    snapshot = JournalSnapshot(
+        spark, f"{path}/snapshots", ["study", "trial"], "seq", ["state", "value"], JOURNAL
+    )
+    for state in ("error", "click"):
+        append_journal(log.filter(F.col("state") == state), f"{path}/log")
+        snapshot.compact(f"{path}/log", keep=1)
+        snapshot.clear(f"{path}/log")
+    append_journal(log.filter(~F.col("state").isin("error", "click")), f"{path}/log")
+    return snapshot.replay(f"{path}/log")
+
+
 @query("stream_latest_trials", LATEST)
 def last_states_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "journal-stream")

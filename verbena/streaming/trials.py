@@ -48,3 +48,21 @@ def current_rows(spark: SparkSession, path: str, by: list[str], seq: str) -> Dat
     others = [c for c in updates.columns if c not in (*by, seq)]
     entry = F.struct(F.col(seq), *others)
     return updates.groupBy(*by).agg(F.max(entry).alias("_last")).select(*by, "_last.*")
+
+
+def compact_updates(spark: SparkSession, path: str, by: list[str], seq: str) -> None:
+    """Replace all updates written so far by one folder with the rows they come to.
+
+    The new folder is complete before the old ones go, and a row that stands in both counts once,
+    so a job lost half-way, or a batch that is written again later, changes no result. To be called
+    while no batch is being written.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("batch=")]
+    last = max((abs(int(p.getName().split("=")[1])) for p in old), default=None)
+    if last is None or len(old) == 1:
+        return
+    current_rows(spark, path, by, seq).write.parquet(f"{path}/batch={-(last + 1)}")
+    for folder in old:
+        system.delete(folder, True)
