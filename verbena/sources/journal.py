@@ -37,8 +37,8 @@ def journal_files(spark: SparkSession, path: str) -> list[str]:
 class JournalSnapshot:
     """A folder that holds what a journal has come to, and which of its files that covers.
 
-    A snapshot is a folder of two tables, ``states`` and ``files``; it counts once ``files`` is complete,
-    as that is written last. So a job that is lost half-way leaves the one before as it was,
+    A snapshot is a folder with the table ``states`` and the list ``files.txt``; it counts once the list is
+    there, as that is put in place last. So a job that is lost half-way leaves the one before as it was,
     and resuming reads that and the files it does not cover. A file is written once and never
     appended to, as ``append_journal`` does it.
     """
@@ -66,7 +66,7 @@ class JournalSnapshot:
             return []
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         names = [status.getPath().getName() for status in system.listStatus(folder)]
-        done = [n for n in names if system.exists(hadoop(f"{self.path}/{n}/files/_SUCCESS"))]
+        done = [n for n in names if system.exists(hadoop(f"{self.path}/{n}/files.txt"))]
         return sorted(done, key=lambda n: (int(n.split("-")[0]), n))
 
     def covered(self) -> set[str]:
@@ -74,8 +74,11 @@ class JournalSnapshot:
         last = self.versions()[-1:]
         if not last:
             return set()
-        rows = self.spark.read.parquet(f"{self.path}/{last[0]}/files").collect()
-        return {r["file"] for r in rows}
+        jvm = self.spark._jvm
+        stream = self._system()[1].open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{last[0]}/files.txt"))
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return set(text.split("\n")) - {""}
 
     def newer(self, log: str) -> list[str]:
         """The journal files that the last snapshot does not cover."""
@@ -109,10 +112,12 @@ class JournalSnapshot:
         number = int(before[-1].split("-")[0]) + 1 if before else 0
         path = f"{self.path}/{number}-{uuid.uuid4().hex}"
         self._states(files).write.parquet(f"{path}/states")
-        rows = self.spark.createDataFrame([(f,) for f in covered], "file string")
-        rows.coalesce(1).write.parquet(f"{path}/files")
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
         _, system = self._system()
+        listed = system.create(hadoop(f"{path}/files.tmp"))
+        listed.write(bytearray("\n".join(covered).encode()))
+        listed.close()
+        system.rename(hadoop(f"{path}/files.tmp"), hadoop(f"{path}/files.txt"))
         for old in self.versions()[:-keep]:
             system.delete(hadoop(f"{self.path}/{old}"), True)
 
