@@ -178,22 +178,26 @@ def prune_trials(
     )
 
 
-def range_scores(
-    trials: DataFrame, study: str, trial: str, value: str, setting: str, share: float = 0.25
+def graded_trials(
+    trials: DataFrame, study: str, trial: str, value: str, settings: list[str], share: float
 ) -> DataFrame:
-    """Where good settings lie: good and bad trials per log10 bin and their density ratio.
+    """``study``, the settings and ``_good``: whether a trial is among its study's best ``share``.
 
-    The best ``share`` of a study's trials are good, ties by trial; shares are add-one.
-    Trials without a value (null or NaN) are left out: they are neither good nor bad.
+    Ties go to the smaller trial; trials without a value (null or NaN) are left out.
     """
-    rows = trials.filter(has_value(value)).select(study, trial, value, F.floor(F.log10(setting)).alias("bin"))
+    rows = trials.filter(has_value(value)).select(study, trial, value, *settings)
     cut = value_chunks(rows, [study], [value, trial])
     placed = running(cut, [study], "_chunk", [value, trial], {"_place": running_count()})
     sizes = rows.groupBy(study).agg(F.count("*").alias("_all"), F.count("*").alias("_degree"))
-    good = F.col("_place") <= F.ceil(F.col("_all") * share)
     graded = lookup(placed, written(sizes, "sizes"), [study], [trial], "_degree")
+    good = F.col("_place") <= F.ceil(F.col("_all") * share)
+    return graded.select(study, *settings, good.alias("_good"))
+
+
+def bin_scores(graded: DataFrame, study: str) -> DataFrame:
+    """Good and bad trials of each study and ``bin``, and the ratio of their add-one shares."""
     bins = graded.groupBy(study, "bin").agg(
-        F.count_if(good).alias("good"), F.count_if(~good).alias("bad")
+        F.count_if("_good").alias("good"), F.count_if(~F.col("_good")).alias("bad")
     )
     whole = bins.groupBy(study).agg(
         F.sum("good").alias("_good"), F.sum("bad").alias("_bad"), F.count("*").alias("_bins")
@@ -202,3 +206,16 @@ def range_scores(
         (F.col("bad") + 1) / (F.col("_bad") + F.col("_bins"))
     )
     return bins.join(whole, study).select(study, "bin", "good", "bad", ratio.alias("score"))
+
+
+def range_scores(
+    trials: DataFrame, study: str, trial: str, value: str, setting: str, share: float = 0.25
+) -> DataFrame:
+    """Where good settings lie: good and bad trials per log10 bin and their density ratio.
+
+    The best ``share`` of a study's trials are good, ties by trial; shares are add-one.
+    Trials without a value (null or NaN) are left out: they are neither good nor bad.
+    """
+    graded = graded_trials(trials, study, trial, value, [setting], share)
+    binned = graded.select(study, "_good", F.floor(F.log10(setting)).alias("bin"))
+    return bin_scores(binned, study)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbena.operators.metrics import accumulate_steps, early_stop, loss_curve
+from verbena.operators.proposals import propose_trials
+from verbena.operators.pruning import prune_running
 from verbena.operators.schedule import (
     alternate_modes,
     anchor_sample,
@@ -325,6 +327,51 @@ def pruned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tested.withColumn("z", F.round("z", 6))
 
 
+STARTUP = 5
+
+
+@query(
+    "prune_running",
+    f"""WITH {METRICS},
+    best AS (SELECT run FROM metrics ORDER BY loss, run LIMIT 1),
+    diffs AS (
+      SELECT m.run AS trial, m.epoch, m.loss - b.loss AS d
+      FROM metrics m JOIN metrics b ON b.epoch = m.epoch
+      WHERE b.run = (SELECT run FROM best) AND m.run <> b.run),
+    so_far AS (
+      SELECT n.trial, n.epoch AS upon, e.d
+      FROM diffs n JOIN diffs e ON e.trial = n.trial AND e.epoch <= n.epoch),
+    ranked AS (
+      SELECT trial, upon, d, rank() OVER (PARTITION BY trial, upon ORDER BY abs(d))
+               + (count(*) OVER (PARTITION BY trial, upon, abs(d)) - 1) / 2 AS r,
+             count(*) OVER (PARTITION BY trial, upon, abs(d)) AS t
+      FROM so_far WHERE d <> 0),
+    sums AS (
+      SELECT trial, upon, count(*) AS m, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus,
+             sum(t * t - 1) AS ties
+      FROM ranked GROUP BY trial, upon),
+    tested AS (
+      SELECT trial, upon, (w_plus - m * (m + 1) / 4)
+                / sqrt(m * (m + 1) * (2 * m + 1) / 24 - ties / 48) AS z FROM sums),
+    counted AS (SELECT trial, upon, count(*) AS steps FROM so_far GROUP BY trial, upon),
+    spoken AS (
+      SELECT trial, min(upon) AS pruned_at, arg_min(steps, upon) AS steps, arg_min(z, upon) AS z
+      FROM counted JOIN tested USING (trial, upon)
+      WHERE z > 1.2815515655446004 AND steps >= {STARTUP} GROUP BY trial)
+    SELECT 'search' AS study, d.trial, pruned_at, steps, round(z, 6) AS z
+    FROM (SELECT DISTINCT trial FROM diffs) d LEFT JOIN spoken ON spoken.trial = d.trial""",
+)
+def runs_pruned_early(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = written(
+        metrics(spark, sf_dir).select(
+            F.lit("search").alias("study"), F.col("run").alias("trial"), "epoch", "loss"
+        ),
+        "steps",
+    )
+    found = prune_running(steps, "study", "trial", "epoch", "loss", STARTUP)
+    return found.withColumn("z", F.round("z", 6))
+
+
 LR = f"""exp(ln(1e-9) + (('0x' || substr(md5('{SEED}:lr:' || o_orderkey), 1, 8))::BIGINT
   / 4294967296.0::DOUBLE) * (ln(1e-3) - ln(1e-9)))"""
 KLW = f"""exp(ln(1.0) + (('0x' || substr(md5('{SEED}:kl_weight:' || o_orderkey), 1, 8))::BIGINT
@@ -376,3 +423,55 @@ def drawn_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = range_scores(order_trials(spark, sf_dir), "study", "trial", "value", "lr")
     return scores.withColumn("score", F.round("score", 6))
+
+
+DRAWS, KEPT = 400, 50
+
+
+def sql_bins(name: str, value: str) -> str:
+    """Bins of one setting with their range of draws and their density ratio."""
+    return f"""{name}_counts AS (
+      SELECT study, floor(log10({value}))::BIGINT AS bin, count(*) FILTER (good) AS good,
+             count(*) FILTER (NOT good) AS bad
+      FROM trials GROUP BY ALL),
+    {name}_bins AS (
+      SELECT study, bin, sum(good + 1) OVER (PARTITION BY study ORDER BY bin) AS upto, good + 1 AS width,
+             sum(good + 1) OVER w AS whole,
+             ((good + 1) / (sum(good) OVER w + count(*) OVER w))
+               / ((bad + 1) / (sum(bad) OVER w + count(*) OVER w)) AS score
+      FROM {name}_counts WINDOW w AS (PARTITION BY study)),
+    {name}_drawn AS (
+      SELECT d.study, d.draw, b.bin, b.score,
+             ('0x' || substr(md5('{SEED}:{name}:place:' || d.study || ':' || d.draw), 1, 8))::BIGINT
+               / 4294967296.0::DOUBLE AS place
+      FROM draws d JOIN {name}_bins b ON b.study = d.study
+        AND ('0x' || substr(md5('{SEED}:{name}:bin:' || d.study || ':' || d.draw), 1, 8))::BIGINT::HUGEINT
+              * b.whole BETWEEN (b.upto - b.width) * 4294967296::HUGEINT AND b.upto * 4294967296::HUGEINT - 1)"""
+
+
+@query(
+    "propose_trials",
+    f"""WITH trials AS (
+      SELECT o_orderpriority AS study, {LR} AS lr, {KLW} AS kl_weight,
+             row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)
+               <= ceil(count(*) OVER (PARTITION BY o_orderpriority) * 0.25) AS good
+      FROM orders WHERE o_orderkey % 9 <> 0),
+    draws AS (SELECT study, draw FROM (SELECT DISTINCT study FROM trials) CROSS JOIN range({DRAWS}) AS r(draw)),
+    {sql_bins("lr", "lr")},
+    {sql_bins("kl_weight", "kl_weight")},
+    ranked AS (
+      SELECT study, draw, a.score * b.score AS score, a.bin AS a_bin, a.place AS a_place,
+             b.bin AS b_bin, b.place AS b_place,
+             row_number() OVER (PARTITION BY study ORDER BY a.score * b.score DESC, draw) AS place
+      FROM lr_drawn a JOIN kl_weight_drawn b USING (study, draw))
+    SELECT study, place, draw::INTEGER AS draw, round(score, 6) AS score,
+           round(greatest(a_bin, -9) + a_place * (least(a_bin + 1, -3) - greatest(a_bin, -9)), 6) AS log_lr,
+           round(greatest(b_bin, 0) + b_place * (least(b_bin + 1, log10(5000)) - greatest(b_bin, 0)), 6)
+             AS log_kl_weight
+    FROM ranked WHERE place <= {KEPT}""",
+)
+def proposed_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trials = order_trials(spark, sf_dir)
+    found = propose_trials(trials, "study", "trial", "value", RANGES, DRAWS, KEPT, SEED)
+    logs = [F.round(F.log10(name), 6).alias(f"log_{name}") for name in RANGES]
+    return found.select("study", "place", "draw", F.round("score", 6).alias("score"), *logs)
