@@ -105,6 +105,27 @@ def test_packing(spark):
     assert packing.pack(packing.piece_rows(docs.limit(0), path)).count() == 0
 
 
+def test_equal_rows_are_dealt_out(spark, monkeypatch, tmp_path):
+    """Many pieces without an id and of one text: each has its own number, in chunks of bounded size."""
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    rows = spark.range(0, 3000, 1, 7).select(
+        F.lit(None).cast("long").alias("doc_id"),
+        F.lit(0).alias("piece"),
+        F.when(F.col("id") % 3 == 0, 900).otherwise(100).cast("long").alias("length"),
+    )
+    rows.write.parquet(str(tmp_path / "pieces"))
+    counts = {900: 1000, 100: 2000}
+    out = packing.numbered(spark.read.parquet(str(tmp_path / "pieces")), counts)
+    for length, n in counts.items():
+        own = out.filter(F.col("length") == length)
+        assert sorted(r["number"] for r in own.select("number").collect()) == list(range(n))
+        assert own.groupBy("chunk").count().agg(F.max("count")).first()[0] < 100
+    packed = packing.pack(rows)
+    assert packed.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
+    assert packed.select("sequence_id", "offset").distinct().count() == 3000
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
 def test_two_replace_the_shortest():
     # Greedy takes 6 and 3 of 10; 2 and 2 fill the room of the 3 better.
     assert packing.plan_bins({6: 1, 3: 1, 2: 2}, 10)[0] == ([6, 2, 2], 1)

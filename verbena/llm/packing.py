@@ -153,17 +153,24 @@ def placed(length: Column, number: Column, places: dict[int, np.ndarray]) -> Col
     return place(length, number)
 
 
-def numbered(pieces: DataFrame, total: int) -> DataFrame:
-    """Number the pieces of each length from 0; a length's pieces are numbered chunk by chunk."""
-    chunks = total // CHUNK + 1
-    dealt = pieces.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)))
+def numbered(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Number the pieces of each length from 0; a length's pieces are numbered chunk by chunk.
+
+    ``pieces`` is a written table. A piece is dealt to one of its length's chunks, of about ``CHUNK``
+    pieces each, by where it stands in the files, so equal rows and null ids are dealt out as well.
+    """
+    chunks = F.lit([counts.get(k, 0) // CHUNK + 1 for k in range(max(counts, default=0) + 1)])
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    dealt = pieces.select("*", place.alias("place")).withColumn(
+        "chunk", F.pmod(F.xxhash64("place"), F.get(chunks, F.col("length").cast("int")).cast("long"))
+    )
     before = (
         dealt.groupBy("length", "chunk")
         .agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("chunk")) - F.col("n"))
         .drop("n")
     )
-    order = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "chunk").orderBy("place")
     inside = dealt.withColumn("inside", F.row_number().over(order) - 1)
     return inside.join(before, ["length", "chunk"]).withColumn(
         "number", F.col("before") + F.col("inside")
@@ -172,11 +179,12 @@ def numbered(pieces: DataFrame, total: int) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (doc_id, piece, length, ...) with the sequence and the offset each one gets."""
+    names = pieces.columns
     pieces = written(pieces, "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     places = places_of(plan_bins(counts, capacity))
-    rows = numbered(pieces, sum(counts.values()))
+    rows = numbered(pieces, counts)
     at = placed(F.col("length"), F.col("number"), places)
     return rows.withColumn("at", at).select(
-        *pieces.columns, F.col("at")["sequence_id"].alias("sequence_id"), F.col("at")["offset"].alias("offset")
+        *names, F.col("at")["sequence_id"].alias("sequence_id"), F.col("at")["offset"].alias("offset")
     )
