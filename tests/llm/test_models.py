@@ -161,6 +161,65 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(docs.limit(0), none).count() == 0
 
 
+def plain_score(model, text):
+    """The classifier as a plain loop over places, filters and components."""
+    words = [model.embed[toxicity.features(w)].sum(axis=0).astype(float) for w in toxicity.words_in(text)]
+    words += [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - len(words))
+    out = float(model.shift)
+    for f, width in enumerate(toxicity.WIDTHS):
+        for k in range(toxicity.FILTERS):
+            best = max(
+                sum(float(words[at + j] @ model.filters[f][j][:, k]) for j in range(width))
+                for at in range(len(words) - width + 1)
+            )
+            column = f * toxicity.FILTERS + k
+            out += max(best + float(model.bias[column]), 0) * float(model.weight[column])
+    return 1 / (1 + np.exp(-out))
+
+
+def test_scores_against_a_plain_loop():
+    texts = ["", "one", "one two", "You are so one two three " * 3, "Straße é 中文 x1y2", "a b c d e f g " * 50]
+    model = toxicity.fit(texts * 4, np.array([0, 1, 0, 1, 1, 0] * 4, float), 0.4)
+    scorer = toxicity.Scorer(model)
+    for text in [*texts, "words never seen before", "two one"]:
+        assert scorer.score(text) == pytest.approx(plain_score(model, text), abs=1e-4)
+
+
+def test_training_separates_a_phrase():
+    """A pair of words is learnt, not its words: only filters of width two or more tell them apart."""
+    rng = np.random.default_rng(3)
+    filler = [f"w{k}x" for k in "abcdefghij"]
+    texts, labels = [], []
+    for _ in range(300):
+        words = list(rng.choice(filler, 12))
+        at = int(rng.integers(0, 11))
+        words[at : at + 2] = ("bad", "thing") if len(texts) % 2 else ("thing", "bad")
+        texts.append(" ".join(words))
+        labels.append(float(len(texts) % 2 == 0))
+    scorer = toxicity.Scorer(toxicity.fit(texts, np.array(labels), 0.5))
+    assert np.mean([(scorer.score(t) >= 0.5) == y for t, y in zip(texts, labels, strict=True)]) > 0.9
+
+
+def test_sample_is_bounded(spark):
+    rows = [(k, "x" * (k % 7 * 10), "en", 1) for k in range(400)]
+    rows += [(k, "é" * 500_000, "en", 1) for k in (1, 2, 3)] + [(5, None, None, 1)] * 50 + [(None, "t", "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)] + [(7, 0), (None, 1)], "doc_id long, toxic int")
+    usable = labels.filter(toxicity.remainder(F.col("doc_id")) != 0)
+    got = toxicity.sampled(docs, usable, 30, 1000).collect()
+    groups = collections.defaultdict(list)
+    for r in got:
+        groups[r["toxic"], r["held"]].append(r)
+        part = zlib.crc32(str(r["doc_id"]).encode()) % 5
+        assert r["toxic"] == r["doc_id"] % 2 and part != 0 and r["held"] == (part == 1)
+    assert len(groups) == 4
+    for own in groups.values():
+        assert 0 < len(own) <= 30 and sum(len(r["text"].encode()) for r in own) <= 1000
+        assert len({r["doc_id"] for r in own}) == len(own)
+    every = toxicity.sampled(docs, usable, 400, 1 << 40).collect()
+    assert len(every) == usable.filter("doc_id is not null").select("doc_id").distinct().count()
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
