@@ -254,6 +254,34 @@ def test_neighbours_against_brute_force(spark):
     assert hits >= 0.9 * 20 * len(found)
 
 
+@pytest.mark.parametrize("case", ["huge", "offset", "lengths"])
+def test_recall_on_hard_tables(spark, case):
+    """One vector of a thousand times the norm, a common offset, and vectors of two lengths."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(1500, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    if case == "huge":
+        vectors[777] *= 1000
+    if case == "offset":
+        vectors += 3
+    short = rng.normal(size=(30, 3)) if case == "lengths" else np.zeros((0, 3))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate([*vectors, *short])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = nn_descent.nearest_neighbours(table, lambda i: i % 20 == 0).collect()
+    found = collections.defaultdict(set)
+    for r in out:
+        found[r["query_id"]].add(r["vec_id"])
+    hits = wanted = 0
+    for q in range(0, len(rows), 20):
+        own, first = (vectors, 0) if q < 1500 else (short, 1500)
+        scores = own @ own[q - first]
+        scores[q - first] = -np.inf
+        best = {first + int(x) for x in np.lexsort((np.arange(len(own)), -scores))[:20]}
+        hits, wanted = hits + len(best & found[q]), wanted + 20
+        assert len(found[q]) == 20 and all((v >= 1500) == (q >= 1500) for v in found[q])
+    assert hits >= 0.95 * wanted
+
+
 def test_neighbours_of_few_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     out = nn_descent.nearest_neighbours(few, lambda i: i == 0).orderBy("rank").collect()

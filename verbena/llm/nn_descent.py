@@ -4,11 +4,12 @@ The index is a graph: for every distinct vector its ``K`` nearest found so far.
 blocks of vectors that agree on the signs of a few random projections. Each round of NN-descent
 joins every node's neighbours (and a bounded number of the nodes that name it) with their vectors,
 compares those neighbours with each other, and keeps what improves a list. Vectors travel as bytes
-of 8 bits a component in these rounds; scores of a search are always of the original vectors.
+of 8 bits a component, at each vector's own scale, in these rounds, which go on until few lists change;
+scores of a search are always of the original vectors.
 
 A search keeps the ``WIDE`` best nodes a query has met and, hop by hop, looks up the neighbours of
 its best nodes that were not opened yet, until none is left. Queries start at themselves, as they
-are part of the index; nearness is the inner product. Vectors of unequal norms are given one more
+are part of the index, and at the vectors of largest norm; nearness is the inner product. Vectors of unequal norms are given one more
 component for building the graph that makes their norms equal, which turns the largest inner
 product with a query into the smallest distance.
 
@@ -16,14 +17,15 @@ Copies of a vector are one node with its smallest ids, so a group of copies of a
 node. Blocks, lists and what a node compares are all of bounded size.
 
 Defined cases. Vectors that are null, empty, zero, or hold null or non-finite components take no
-part, nor do vectors of another length than the most frequent one (of equally many, the longest),
-nor rows without an id. Equal rows count once. An empty table has no neighbours. Ties go to the
+part, nor do rows without an id. Vectors of several lengths have no product: each length is searched by
+itself. Equal rows count once. An empty table has no neighbours. Ties go to the
 smaller id. Further columns are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,9 @@ REVERSE = 32  # nodes that name it, at most, in a comparison
 TABLES = 8  # sets of projections for the first graph
 FIRST = 16  # neighbours that a block of the first graph gives a node
 BLOCK = 128  # vectors compared with each other in the first graph
-ROUNDS = 6
+SETTLED = 0.01  # the share of new neighbours in a round below which the graph is done
+LONGEST = 1 << 14  # rows of one key of the first graph that are held at a time
+TALL = 32  # nodes of largest norm that every query meets
 WIDE = 160  # best nodes kept in a search
 STEP = 48  # nodes opened in a hop
 NEAREST = 20
@@ -62,26 +66,68 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     )
 
 
-def packed(column: str, scale: float | None = None):
-    """Vectors of one length as bytes: 64-bit floats, or 8-bit numbers of ``1 / scale``."""
+def packed(column: str):
+    """Vectors of one length as bytes of 64-bit floats."""
 
     @F.arrow_udf("binary")
     def pack(vectors: pa.Array) -> pa.Array:
         x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-        if scale:
-            x = np.clip(np.rint(x * scale), -127, 127).astype(np.int8)
         return pa.array([row.tobytes() for row in np.ascontiguousarray(x)], pa.binary())
 
     return pack(F.col(column))
 
 
+def levelled(column: str, centre: list[float], square: float):
+    """Vectors as points for the graph: 8 bits a component, and each vector's own scale as a 32-bit float.
+
+    With a further component ``sqrt(square - |v|**2)`` all norms would be equal, and the largest inner
+    product the least distance. Distances are kept if points are moved, so that component is put as its
+    difference from ``sqrt(square)``, which stays exact beside one vector of huge norm, and the middle is
+    taken off the others.
+    """
+    middle = np.array(centre, np.float64)
+
+    @F.arrow_udf("binary")
+    def pack(vectors: pa.Array) -> pa.Array:
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        own = np.einsum("nd,nd->n", x, x)
+        more = own / (np.sqrt(square) + np.sqrt(np.maximum(0.0, square - own)))
+        points = np.hstack([x - middle, more[:, None]])
+        scale = np.maximum(np.abs(points).max(axis=1) / 127, 1e-30).astype("<f4")
+        bits = np.clip(np.rint(points / scale[:, None]), -127, 127).astype(np.int8)
+        both = np.hstack([bits.view(np.uint8), scale[:, None].view(np.uint8)])
+        return pa.array([row.tobytes() for row in both], pa.binary())
+
+    return pack(F.col(column))
+
+
+def points_of(column: pa.Array) -> np.ndarray:
+    """The points that ``levelled`` packed, to 8 bits of each one's scale."""
+    raw = unpacked(column, np.uint8)
+    scale = np.ascontiguousarray(raw[:, -4:]).view("<f4")
+    return np.ascontiguousarray(raw[:, :-4]).view(np.int8).astype(np.float32) * scale
+
+
+def nearness(x: np.ndarray) -> np.ndarray:
+    """Half the squared distance of each two points, negative; a point is not near itself."""
+    half = np.einsum("nd,nd->n", x, x) / 2
+    near = x @ x.T - half[:, None] - half[None, :]
+    np.fill_diagonal(near, -np.inf)
+    return near
+
+
 def unpacked(column: pa.Array, kind) -> np.ndarray:
     """A matrix from a column of equally long bytes."""
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables with whole runs of equal first columns, and where the runs begin (and end)."""
+def runs(
+    batches: Iterator[pa.RecordBatch], most: int | None = None
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables with whole runs of equal first columns, and where the runs begin (and end).
+
+    With ``most``, a run longer than that is given out in parts, so that it is never held whole.
+    """
     rest: pa.Table | None = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -91,6 +137,10 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarr
             continue
         starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
         last = int(starts[-1])
+        if most and len(table) - last > most:
+            yield table, np.append(starts, len(table))
+            rest = None
+            continue
         if last:
             yield table.slice(0, last).combine_chunks(), starts
         rest = table.slice(last)
@@ -105,7 +155,7 @@ def first_graph(nodes: DataFrame, total: int, dims: int) -> DataFrame:
 
     @F.arrow_udf("array<struct<key:bigint,at:double>>")
     def sides(vectors: pa.Array) -> pa.Array:
-        x = unpacked(vectors, np.int8).astype(np.float64)
+        x = points_of(vectors).astype(np.float64)
         out = np.einsum("tbd,nd->ntb", planes, x)
         keys = ((out[:, :, :bits] > 0) << np.arange(bits)).sum(axis=2) * TABLES + np.arange(TABLES)
         rows = [
@@ -115,17 +165,16 @@ def first_graph(nodes: DataFrame, total: int, dims: int) -> DataFrame:
         return pa.array(rows, pa.list_(pa.struct([("key", pa.int64()), ("at", pa.float64())])))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in runs(batches):
+        for table, starts in runs(batches, LONGEST):
             ids = table.column("node").to_numpy()
-            x = unpacked(table.column("small"), np.int8).astype(np.float32)
+            x = points_of(table.column("small"))
             out_u, out_v, out_near = [], [], []
             ends = [*starts[1:], len(ids)] if starts[-1] != len(ids) else starts[1:]
             for start, end in zip(starts, ends, strict=False):
                 for a in range(start, end, BLOCK):
                     # Blocks overlap by half, so that neighbours along the line meet.
                     b = min(end, a + BLOCK + BLOCK // 2)
-                    near = x[a:b] @ x[a:b].T
-                    np.fill_diagonal(near, -np.inf)
+                    near = nearness(x[a:b])
                     k = min(FIRST, b - a - 1)
                     if k < 1:
                         continue
@@ -139,9 +188,9 @@ def first_graph(nodes: DataFrame, total: int, dims: int) -> DataFrame:
     dealt = nodes.select("node", "small", F.explode(sides("small")).alias("s")).select(
         F.col("s.key").alias("key"), F.col("s.at").alias("at"), "node", "small"
     )
-    return dealt.repartition("key").sortWithinPartitions("key", "at", "node").mapInArrow(
-        compare, EDGES
-    )
+    # By ranges, so a key that most vectors share is split along its line.
+    ranged = dealt.repartitionByRange("key", "at", "node").sortWithinPartitions("key", "at", "node")
+    return ranged.mapInArrow(compare, EDGES)
 
 
 def edge_batch(u: list, v: list, near: list) -> pa.RecordBatch:
@@ -156,9 +205,9 @@ def edge_batch(u: list, v: list, near: list) -> pa.RecordBatch:
 
 
 def nearest_of(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of each node, each once, with their rank."""
+    """The ``k`` nearest of each node, each once, with their rank and whether they were ``old``."""
     order = Window.partitionBy("u").orderBy(F.desc("near"), "v")
-    once = edges.groupBy("u", "v").agg(F.max("near").alias("near"))
+    once = edges.groupBy("u", "v").agg(F.max("near").alias("near"), F.max("old").alias("old"))
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -186,13 +235,12 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in runs(batches):
             ids = table.column("v").to_numpy()
-            x = unpacked(table.column("small"), np.int8).astype(np.float32)
+            x = points_of(table.column("small"))
             worst = np.nan_to_num(table.column("worst").to_numpy(), nan=-np.inf)
             out_u, out_v, out_near = [], [], []
             ends = [*starts[1:], len(ids)] if starts[-1] != len(ids) else starts[1:]
             for a, b in zip(starts, ends, strict=False):
-                near = x[a:b] @ x[a:b].T
-                np.fill_diagonal(near, -np.inf)
+                near = nearness(x[a:b])
                 i, j = np.nonzero(near > worst[a:b, None])
                 out_u.append(ids[a:b][i])
                 out_v.append(ids[a:b][j])
@@ -201,24 +249,33 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield edge_batch(out_u, out_v, out_near)
 
     found = met.repartition("u").sortWithinPartitions("u").mapInArrow(compare, EDGES)
-    return nearest_of(graph.select("u", "v", "near").unionByName(found), K)
+    known = graph.select("u", "v", "near", F.lit(True).alias("old"))
+    return nearest_of(known.unionByName(found.withColumn("old", F.lit(False))), K)
+
 
+def build_graph(nodes: DataFrame, settled: float = SETTLED) -> DataFrame:
+    """The neighbour graph ``u, v, near, rank, old`` of ``nodes`` (node, small).
 
-def build_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph ``u, v, near, rank`` of ``nodes`` (node, small)."""
+    Rounds go on until one renews less than the share ``settled`` of all entries. Lists only get nearer, so
+    that comes.
+    """
     total = nodes.count()
     one = nodes.select("small").first()
-    dims = len(one["small"]) if one else 1
-    graph = written(nearest_of(first_graph(nodes, total, dims), K), "graph")
-    for _ in range(rounds):
+    dims = len(one["small"]) - 4 if one else 1
+    first = first_graph(nodes, total, dims).withColumn("old", F.lit(False))
+    graph = written(nearest_of(first, K), "graph")
+    while True:
         graph = written(descend(graph, nodes), "graph")
-    return graph
+        count = graph.agg(F.count("*"), F.count_if(~F.col("old"))).first()
+        if count[1] <= settled * count[0]:
+            return graph
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, tall: list[int]) -> DataFrame:
     """The ``WIDE`` best nodes that each query meets: ``query_id, node, score``.
 
-    ``queries``: query_id, start (a node), vector (bytes). ``nodes``: node, vector (bytes).
+    ``queries``: query_id, start (a node), vector (bytes). ``nodes``: node, vector (bytes). ``tall``: further
+    nodes, at most ``TALL``, at which each query starts.
     """
     links = written(both_ways(graph), "links")
 
@@ -233,7 +290,8 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame) -> DataFrame:
         both = full.join(queries.select("query_id", "vector"), "query_id")
         return both.select("query_id", "node", product("vector", "own").alias("score"))
 
-    met = scored(queries.select("query_id", F.col("start").alias("node"))).withColumn(
+    starts = F.array_distinct(F.concat(F.array("start"), F.lit(tall).cast("array<bigint>")))
+    met = scored(queries.select("query_id", F.explode(starts).alias("node"))).withColumn(
         "opened", F.lit(False)
     )
     state = written(met, "search")
@@ -276,36 +334,40 @@ def nearest_neighbours(
     """``query_id, rank, vec_id, score``: the nearest rows found of each row that is a query."""
     ship(rows.sparkSession)
     good = written(usable(rows, key, vector), "vectors")
-    sizes = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n"))
-    usual = sizes.first()
-    good = good.filter(F.size("vector") == (usual["n"] if usual else 0))
+    sizes = [r["n"] for r in good.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
+    parts = [of_one_length(good.filter(F.size("vector") == n), n, is_query, nearest) for n in sizes or [1]]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def of_one_length(good: DataFrame, dims: int, is_query, nearest: int) -> DataFrame:
+    """``nearest_neighbours`` among usable vectors of ``dims`` components."""
     # The smallest ids of each distinct vector; one more than asked for, as a query leaves itself out.
     order = Window.partitionBy("vector").orderBy("id")
     copies = good.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= nearest + 1)
     squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    top = good.agg(
-        F.max(F.array_max(F.transform("vector", F.abs))), F.max(squares)
-    ).first()
-    largest, square = (top[0] or 1.0), (top[1] or 1.0)
-    grouped = copies.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    extra = F.sqrt(F.greatest(F.lit(0.0), F.lit(square) - squares))
-    wide = grouped.select(
-        F.xxhash64("vector").alias("node"),
-        "ids",
-        packed("vector").alias("vector"),
-        F.concat("vector", F.array(extra)).alias("level"),
+    grouped = written(
+        copies.groupBy("vector")
+        .agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        .select("ids", "vector", F.xxhash64("vector").alias("node"), squares.alias("square")),
+        "distinct",
     )
-    scale = 127 / max(largest, square**0.5 * 0.3)
+    means = [F.avg(F.get("vector", F.lit(k))) for k in range(dims)]
+    top = grouped.agg(F.max("square"), *means).first()
+    square, centre = top[0] or 1.0, [x or 0.0 for x in top[1:]]
     nodes = written(
-        wide.select("node", "ids", "vector", packed("level", scale).alias("small")), "nodes"
+        grouped.select(
+            "node", "ids", packed("vector").alias("vector"), levelled("vector", centre, square).alias("small")
+        ),
+        "nodes",
     )
     graph = build_graph(nodes.select("node", "small"))
+    tall = [r["node"] for r in grouped.orderBy(F.desc("square"), "node").limit(TALL).collect()]
     asked = good.filter(is_query(F.col("id"))).select(
         F.col("id").alias("query_id"),
         F.xxhash64("vector").alias("start"),
         packed("vector").alias("vector"),
     )
-    found = search(written(asked, "queries"), graph, nodes.select("node", "vector"))
+    found = search(written(asked, "queries"), graph, nodes.select("node", "vector"), tall)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.join(nodes.select("node", "ids"), "node")
@@ -315,4 +377,3 @@ def nearest_neighbours(
         .filter(F.col("rank") <= nearest)
         .select("query_id", "rank", "vec_id", "score")
     )
-
