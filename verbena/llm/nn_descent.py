@@ -194,12 +194,19 @@ def first_graph(nodes: DataFrame, total: int, dims: int) -> DataFrame:
 
 
 def edge_batch(u: list, v: list, near: list) -> pa.RecordBatch:
+    """The ``K`` nearest that a batch found for each of its nodes, each once."""
+    u, v, near = np.concatenate(u), np.concatenate(v), np.concatenate(near).astype(np.float64)
+    order = np.lexsort((-near, v, u))
+    u, v, near = u[order], v[order], near[order]
+    first = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))[: len(u)]
+    u, v, near = u[first], v[first], near[first]
+    order = np.lexsort((v, -near, u))
+    u, v, near = u[order], v[order], near[order]
+    starts = np.flatnonzero(np.append(True, u[1:] != u[:-1])[: len(u)])
+    places = np.arange(len(u)) - np.repeat(starts, np.diff(np.append(starts, len(u))))
+    kept = places < K
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate(u), pa.int64()),
-            pa.array(np.concatenate(v), pa.int64()),
-            pa.array(np.concatenate(near).astype(np.float64)),
-        ],
+        [pa.array(u[kept], pa.int64()), pa.array(v[kept], pa.int64()), pa.array(near[kept])],
         ["u", "v", "near"],
     )
 
@@ -212,36 +219,42 @@ def nearest_of(edges: DataFrame, k: int) -> DataFrame:
 
 
 def both_ways(graph: DataFrame) -> DataFrame:
-    """Neighbours of a node, and a bounded number of the nodes that name it."""
+    """Neighbours of a node, and a bounded number of the nodes that name it; ``old`` if both ways are."""
     order = Window.partitionBy("v").orderBy(F.desc("near"), F.xxhash64("u"))
     back = (
         graph.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= REVERSE)
-        .select(F.col("v").alias("u"), F.col("u").alias("v"))
+        .select(F.col("v").alias("u"), F.col("u").alias("v"), "old")
     )
-    return graph.select("u", "v").unionByName(back).distinct()
+    both = graph.select("u", "v", "old").unionByName(back)
+    return both.groupBy("u", "v").agg(F.min("old").alias("old"))
 
 
 def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: what neighbours of a node are to each other, if it improves a list."""
+    """One round: what neighbours of a node are to each other, if it improves a list.
+
+    Two neighbours that were both there in the round before have met and are not compared again.
+    """
     worst = graph.groupBy("u").agg(
         F.when(F.count("*") >= K, F.min("near")).otherwise(F.lit(float("-inf"))).alias("worst")
     )
     members = nodes.select(F.col("node").alias("v"), "small").join(
         worst.withColumnRenamed("u", "v"), "v", "left"
     )
-    met = both_ways(graph).join(members, "v").select("u", "v", "small", "worst")
+    met = both_ways(graph).join(members, "v").select("u", "v", "small", "worst", "old")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in runs(batches):
             ids = table.column("v").to_numpy()
             x = points_of(table.column("small"))
             worst = np.nan_to_num(table.column("worst").to_numpy(), nan=-np.inf)
+            old = table.column("old").to_numpy()
             out_u, out_v, out_near = [], [], []
             ends = [*starts[1:], len(ids)] if starts[-1] != len(ids) else starts[1:]
             for a, b in zip(starts, ends, strict=False):
                 near = nearness(x[a:b])
-                i, j = np.nonzero(near > worst[a:b, None])
+                met = old[a:b, None] & old[None, a:b]
+                i, j = np.nonzero((near > worst[a:b, None]) & ~met)
                 out_u.append(ids[a:b][i])
                 out_v.append(ids[a:b][j])
                 out_near.append(near[i, j])
@@ -277,7 +290,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, tall: list[in
     ``queries``: query_id, start (a node), vector (bytes). ``nodes``: node, vector (bytes). ``tall``: further
     nodes, at most ``TALL``, at which each query starts.
     """
-    links = written(both_ways(graph), "links")
+    links = written(both_ways(graph).select("u", "v"), "links")
 
     @F.arrow_udf("double")
     def product(left: pa.Array, right: pa.Array) -> pa.Array:
