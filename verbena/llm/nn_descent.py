@@ -5,10 +5,12 @@ blocks of vectors that agree on the signs of a few random projections. Each roun
 joins every node's neighbours (and a bounded number of the nodes that name it) with their vectors,
 compares those neighbours with each other, and keeps what improves a list. Vectors travel as bytes
 of 8 bits a component, at each vector's own scale, in these rounds, which go on until few lists change;
-scores of a search are always of the original vectors.
+scores that are returned are always of the original vectors.
 
 A search keeps the ``WIDE`` best nodes a query has met and, hop by hop, looks up the neighbours of
-its best nodes that were not opened yet, until none is left. Queries start at themselves, as they
+its best nodes that were not opened yet, until none is left. A node's neighbours are one row with their
+8-bit points, so a hop moves queries to the nodes they open and back only what is among the best; the
+best in the end are scored anew by the original vectors. Queries start at themselves, as they
 are part of the index, and at the vectors of largest norm; nearness is the inner product. Vectors of unequal norms are given one more
 component for building the graph that makes their norms equal, which turns the largest inner
 product with a query into the smallest distance.
@@ -40,7 +42,7 @@ REVERSE = 32  # nodes that name it, at most, in a comparison
 TABLES = 8  # sets of projections for the first graph
 FIRST = 16  # neighbours that a block of the first graph gives a node
 BLOCK = 128  # vectors compared with each other in the first graph
-SETTLED = 0.01  # the share of new neighbours in a round below which the graph is done
+SETTLED = 0.002  # the share of new neighbours in a round below which the graph is done
 LONGEST = 1 << 14  # rows of one key of the first graph that are held at a time
 TALL = 32  # nodes of largest norm that every query meets
 WIDE = 160  # best nodes kept in a search
@@ -214,20 +216,26 @@ def edge_batch(u: list, v: list, near: list) -> pa.RecordBatch:
 def nearest_of(edges: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest of each node, each once, with their rank and whether they were ``old``."""
     order = Window.partitionBy("u").orderBy(F.desc("near"), "v")
-    once = edges.groupBy("u", "v").agg(F.max("near").alias("near"), F.max("old").alias("old"))
+    once = (
+        edges.repartition("u")
+        .groupBy("u", "v")
+        .agg(F.max("near").alias("near"), F.max("old").alias("old"))
+    )
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def both_ways(graph: DataFrame) -> DataFrame:
-    """Neighbours of a node, and a bounded number of the nodes that name it; ``old`` if both ways are."""
+    """Neighbours of a node, and a bounded number of the nodes that name it: ``u, v, old``.
+
+    Two that name each other are there twice.
+    """
     order = Window.partitionBy("v").orderBy(F.desc("near"), F.xxhash64("u"))
     back = (
         graph.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= REVERSE)
         .select(F.col("v").alias("u"), F.col("u").alias("v"), "old")
     )
-    both = graph.select("u", "v", "old").unionByName(back)
-    return both.groupBy("u", "v").agg(F.min("old").alias("old"))
+    return graph.select("u", "v", "old").unionByName(back)
 
 
 def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -252,11 +260,14 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
             out_u, out_v, out_near = [], [], []
             ends = [*starts[1:], len(ids)] if starts[-1] != len(ids) else starts[1:]
             for a, b in zip(starts, ends, strict=False):
-                near = nearness(x[a:b])
-                met = old[a:b, None] & old[None, a:b]
-                i, j = np.nonzero((near > worst[a:b, None]) & ~met)
-                out_u.append(ids[a:b][i])
-                out_v.append(ids[a:b][j])
+                # A neighbour in both ways counts once, and as new if either way is.
+                order = a + np.lexsort((old[a:b], ids[a:b]))
+                own = order[np.append(True, ids[order[1:]] != ids[order[:-1]])]
+                near = nearness(x[own])
+                met = old[own, None] & old[None, own]
+                i, j = np.nonzero((near > worst[own, None]) & ~met)
+                out_u.append(ids[own[i]])
+                out_v.append(ids[own[j]])
                 out_near.append(near[i, j])
             if out_u:
                 yield edge_batch(out_u, out_v, out_near)
@@ -284,57 +295,96 @@ def build_graph(nodes: DataFrame, settled: float = SETTLED) -> DataFrame:
             return graph
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, tall: list[int]) -> DataFrame:
-    """The ``WIDE`` best nodes that each query meets: ``query_id, node, score``.
+def neighbour_rows(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``u, near_by``: a node's neighbours of both ways (at most ``K + REVERSE``) with their points."""
+    pairs = both_ways(graph).select("u", "v").distinct()
+    full = pairs.join(nodes.select(F.col("node").alias("v"), "small"), "v")
+    return full.groupBy("u").agg(F.collect_list(F.struct("v", "small")).alias("near_by"))
 
-    ``queries``: query_id, start (a node), vector (bytes). ``nodes``: node, vector (bytes). ``tall``: further
-    nodes, at most ``TALL``, at which each query starts.
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``query_id, node, score`` of the neighbours in rows of query_id, vector, least, near_by.
+
+    Scores are products with the points, which are short of the real ones by the same for all nodes of a
+    query. Those not above ``least`` are left out.
     """
-    links = written(both_ways(graph).select("u", "v"), "links")
+    for batch in batches:
+        for at in range(0, len(batch), 512):
+            part = batch.slice(at, 512)
+            near_by = part.column("near_by")
+            sizes = np.diff(near_by.offsets.to_numpy())
+            if not sizes.sum():
+                continue
+            each = near_by.flatten()
+            points = points_of(each.field("small"))[:, :-1].astype(np.float64)
+            row = np.repeat(np.arange(len(part)), sizes)
+            vectors = unpacked(part.column("vector"), np.float64)
+            scores = np.einsum("nd,nd->n", points, vectors[row])
+            kept = scores > part.column("least").to_numpy()[row]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(part.column("query_id").to_numpy()[row[kept]], pa.int64()),
+                    pa.array(each.field("v").to_numpy()[kept], pa.int64()),
+                    pa.array(scores[kept]),
+                ],
+                ["query_id", "node", "score"],
+            )
+
+
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, tall: list) -> DataFrame:
+    """The ``WIDE`` best nodes that each query meets: ``query_id, node, score``.
 
-    @F.arrow_udf("double")
-    def product(left: pa.Array, right: pa.Array) -> pa.Array:
-        a, b = unpacked(left, np.float64), unpacked(right, np.float64)
-        width = min(a.shape[1], b.shape[1]) if len(a) else 0
-        return pa.array(np.einsum("nd,nd->n", a[:, :width], b[:, :width]), pa.float64())
+    ``queries``: query_id, start (a node), vector (bytes). ``nodes``: node, vector (bytes), small. ``tall``:
+    further nodes (node, small), at most ``TALL``, at which each query starts.
+    """
+    links = written(neighbour_rows(graph, nodes), "links")
+    asked = queries.select("query_id", "vector")
 
-    def scored(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(nodes.select("node", F.col("vector").alias("own")), "node")
-        both = full.join(queries.select("query_id", "vector"), "query_id")
-        return both.select("query_id", "node", product("vector", "own").alias("score"))
+    def met(frontier: DataFrame) -> DataFrame:
+        rows = frontier.join(asked, "query_id").select("query_id", "vector", "least", "near_by")
+        return rows.mapInArrow(meet, "query_id bigint, node bigint, score double")
 
-    starts = F.array_distinct(F.concat(F.array("start"), F.lit(tall).cast("array<bigint>")))
-    met = scored(queries.select("query_id", F.explode(starts).alias("node"))).withColumn(
-        "opened", F.lit(False)
-    )
-    state = written(met, "search")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
-    while True:
+    def best_of(rows: DataFrame) -> DataFrame:
+        """The best nodes of each query, each once, with those that the next hop opens."""
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
         turn = Window.partitionBy("query_id", "opened").orderBy(F.desc("score"), "node")
-        now = state.withColumn("place", F.row_number().over(turn)).select(
+        whole = Window.partitionBy("query_id")
+        once = (
+            rows.repartition("query_id")
+            .groupBy("query_id", "node")
+            .agg(F.max("score").alias("score"), F.max("opened").alias("opened"))
+        )
+        kept = once.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= WIDE)
+        least = F.when(F.count("*").over(whole) >= WIDE, F.min("score").over(whole))
+        return kept.select(
             "query_id",
             "node",
             "score",
             "opened",
-            (~F.col("opened") & (F.col("place") <= STEP)).alias("opens"),
-        )
-        frontier = now.filter("opens").select("query_id", F.col("node").alias("u"))
-        new = (
-            frontier.join(links, "u")
-            .select("query_id", F.col("v").alias("node"))
-            .distinct()
-            .join(state.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        )
-        seen = now.select("query_id", "node", "score", (F.col("opened") | F.col("opens")).alias("opened"))
-        every = seen.unionByName(scored(new).withColumn("opened", F.lit(False)))
-        state = written(
-            every.withColumn("place", F.row_number().over(best))
-            .filter(F.col("place") <= WIDE)
-            .drop("place"),
-            "search",
+            (~F.col("opened") & (F.row_number().over(turn) <= STEP)).alias("opens"),
+            F.coalesce(least, F.lit(float("-inf"))).alias("least"),
         )
-        if state.filter(~F.col("opened")).isEmpty():
-            return state.select("query_id", "node", "score")
+
+    further = [F.struct(F.lit(r["node"]).alias("v"), F.lit(bytes(r["small"])).alias("small")) for r in tall]
+    own = nodes.select(F.col("node").alias("start"), F.struct(F.col("node").alias("v"), "small").alias("own"))
+    starts = queries.join(own, "start").select(
+        "query_id", F.lit(float("-inf")).alias("least"), F.array("own", *further).alias("near_by")
+    )
+    state = written(best_of(met(starts).withColumn("opened", F.lit(False))), "search")
+    while not state.filter("opens").isEmpty():
+        opening = state.filter("opens").select("query_id", F.col("node").alias("u"), "least")
+        new = met(opening.join(links, "u")).withColumn("opened", F.lit(False))
+        seen = state.select("query_id", "node", "score", (F.col("opened") | F.col("opens")).alias("opened"))
+        state = written(best_of(seen.unionByName(new)), "search")
+
+    @F.arrow_udf("double")
+    def product(left: pa.Array, right: pa.Array) -> pa.Array:
+        a, b = unpacked(left, np.float64), unpacked(right, np.float64)
+        width = min(a.shape[1], b.shape[1]) if len(a) else 0
+        return pa.array(np.einsum("nd,nd->n", a[:, :width], b[:, :width]), pa.float64())
+
+    full = state.select("query_id", "node").join(nodes.select("node", F.col("vector").alias("own")), "node")
+    return full.join(asked, "query_id").select("query_id", "node", product("vector", "own").alias("score"))
 
 
 def nearest_neighbours(
@@ -369,18 +419,22 @@ def of_one_length(good: DataFrame, dims: int, is_query, nearest: int) -> DataFra
     square, centre = top[0] or 1.0, [x or 0.0 for x in top[1:]]
     nodes = written(
         grouped.select(
-            "node", "ids", packed("vector").alias("vector"), levelled("vector", centre, square).alias("small")
+            "node",
+            "ids",
+            "square",
+            packed("vector").alias("vector"),
+            levelled("vector", centre, square).alias("small"),
         ),
         "nodes",
     )
     graph = build_graph(nodes.select("node", "small"))
-    tall = [r["node"] for r in grouped.orderBy(F.desc("square"), "node").limit(TALL).collect()]
+    tall = nodes.orderBy(F.desc("square"), "node").limit(TALL).select("node", "small").collect()
     asked = good.filter(is_query(F.col("id"))).select(
         F.col("id").alias("query_id"),
         F.xxhash64("vector").alias("start"),
         packed("vector").alias("vector"),
     )
-    found = search(written(asked, "queries"), graph, nodes.select("node", "vector"), tall)
+    found = search(written(asked, "queries"), graph, nodes.select("node", "vector", "small"), tall)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.join(nodes.select("node", "ids"), "node")
