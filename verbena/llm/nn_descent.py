@@ -42,11 +42,11 @@ REVERSE = 32  # nodes that name it, at most, in a comparison
 TABLES = 8  # sets of projections for the first graph
 FIRST = 16  # neighbours that a block of the first graph gives a node
 BLOCK = 128  # vectors compared with each other in the first graph
-SETTLED = 0.002  # the share of new neighbours in a round below which the graph is done
+SETTLED = 0.01  # the share of new neighbours in a round below which the graph is done
 LONGEST = 1 << 14  # rows of one key of the first graph that are held at a time
 TALL = 32  # nodes of largest norm that every query meets
-WIDE = 160  # best nodes kept in a search
-STEP = 48  # nodes opened in a hop
+WIDE = 256  # best nodes kept in a search
+STEP = 64  # nodes opened in a hop
 NEAREST = 20
 SEED = 17
 
