@@ -136,7 +136,7 @@ def test_surrogates(spark):
         "10.0.0.1 " * 500,
     ]
     docs = odd_rows(spark, *texts)
-    out = pii.replace_entities(docs)
+    out = pii.replace_entities(docs, key="k")
     assert out.columns == [*docs.columns, "entities_1"]
     found = {r["doc_id"]: r for r in out.collect()}
     assert found[None]["text"] is None and found[99]["text"] == ""
@@ -153,8 +153,8 @@ def test_surrogates(spark):
     assert re.search("Господин [А-Я][а-я]+ left", names) and "Иванов" not in names
     octets = set(found[3]["text"].split())
     assert len(octets) == 1 and octets.pop() in first.replace(".", " . ").replace(" . ", ".")
-    assert pii.replace_entities(docs.limit(0)).count() == 0
-    assert pii.anonymised(docs).columns == docs.columns
+    assert pii.replace_entities(docs.limit(0), key="k").count() == 0
+    assert pii.anonymised(docs, key="k").columns == docs.columns
 
 
 def test_surrogates_stay_distinct(spark):
@@ -165,7 +165,7 @@ def test_surrogates_stay_distinct(spark):
     ips = spark.range(2500).select(
         F.lit("ip").alias("kind"), F.concat(F.lit("1.1.1."), "id").alias("form")
     )
-    out = pii.assign(rows.unionByName(ips)).collect()
+    out = pii.assign(rows.unionByName(ips), "k").collect()
     assert len(out) == 5500
     assert len({(r["kind"], r["surrogate"]) for r in out}) == 5500
     assert not {r["surrogate"] for r in out} & {r["form"] for r in out}

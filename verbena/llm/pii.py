@@ -1,13 +1,16 @@
 """Surrogates for personal data (native).
 
-Found are mail addresses, phone numbers, card numbers, IPv4 addresses, names after a title and, in the
-same text, the parts of such a name wherever they stand. An
-entity is its kind and its normal form (digits alone for numbers, lower case for addresses), so
+Found are mail addresses, phone numbers, card numbers, account numbers (IBAN), identity numbers of 3, 2 and 4
+digits, IPv4 addresses, names after a title and, in the same text, the parts of such a name wherever they
+stand. An entity is its kind and its normal form (digits alone for numbers, lower case for addresses), so
 different spellings of one number stay one entity, and the parts of a name are entities of their
 own: ``Mr Ivo Renn`` and ``Mr Renn`` keep the same family name.
 
-Each distinct entity gets one surrogate from a keyed hash: digits for digits, letters for letters of
-the same script and case, octets for octets, and a name of the same gender and script. Surrogates
+Each distinct entity gets one surrogate from an HMAC-SHA-256: digits for digits, letters for letters of
+the same script and case, octets for octets, and a name of the same gender and script. A card number that
+passes the Luhn check gets one that passes it too; an account number keeps its country and gets check
+digits that are right if its own are. The key comes from the caller or the session setting
+``verbena.pii.key``; there is none by default, as whoever knows it can rebuild the surrogates. Surrogates
 are checked over the whole table: if two entities share one, or one equals a real entity, all but
 the smallest entity draw again until none clash, so distinct entities stay distinct; names and mail
 addresses grow with each draw, so there are always places left. A mention
@@ -17,21 +20,22 @@ The parts that are joined are entities and mentions; texts without a mention are
 
 Defined cases. A null text stays null and has no entity; an empty one is unchanged. Mentions depend
 on the text alone, so null or repeated ids and repeated rows need no care, and equal texts are
-worked on once. Of overlapping mentions the leftmost counts, then the first kind in the list. An
-empty table gives no rows. Further columns are kept; ``entities`` gets a spare name if it is taken.
+worked on once. Of overlapping mentions the leftmost counts, then the first kind in the list. Without a
+key there is an error. An empty table gives no rows. Further columns are kept; ``entities`` gets a spare name if it is taken.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verbena.llm.support import let, spare, text_of
 from verbena.session import written
 
-KEY = "verbena"
+KEY_SETTING = "verbena.pii.key"
 STUCK = 40  # rounds in a row that settle nothing: a format has no free place left
 
 # Titles by gender; the name after one is given name and family name, or family name alone.
@@ -49,12 +53,15 @@ AREA = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[
 ABROAD = rf"(?:\+|00[ .-]?)[1-9](?:{BETWEEN}[0-9]){{7,14}}"
 DATE = r"[0-9]{2}[ .-][0-9]{2}[ .-][12][0-9]{3}(?![0-9])"
 AT_HOME = rf"(?<![0-9][.,-])(?!{DATE})\(?0[1-9](?:{BETWEEN}[0-9]){{7,9}}"
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 # Country codes of one and two digits; the others have three.
 COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "ip": rf"(?<![0-9.])(?<!\b[Vv])(?<!\b[Vv] )(?<!\b[Vv]ersion )(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
+    "iban": r"(?<![0-9A-Za-z])(?=[A-Z]{2}[0-9]{2}(?:[A-Z ]*[0-9]){6})[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9A-Za-z])",
+    "identity": r"(?<![0-9A-Za-z+.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
     "phone": f"(?<![0-9A-Za-z+])(?:{AREA}|{ABROAD}|{AT_HOME})(?![0-9A-Za-z])",
     "name": f"(?<![{UPPER}{LOWER}])(?:{ALL_TITLES})\\.? {NAME}(?: {NAME})?",
 }
@@ -93,20 +100,74 @@ ENDINGS = {
 ENTITY = "struct<kind:string,form:string>"
 
 
-def draw(seed: Column, place, size) -> Column:
-    """A number below ``size`` from a keyed hash of the seed and a place."""
-    hashed = F.sha2(F.concat_ws("|", F.lit(KEY), seed, F.lit(place) if isinstance(place, int) else place), 256)
-    number = F.conv(F.substring(hashed, 1, 12), 16, 10).cast("long")
+def key_of(spark: SparkSession, key: str | None) -> str:
+    """The secret key: ``key``, or else the session's setting."""
+    key = key or spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"surrogates need a key: pass one or set {KEY_SETTING}")
+    return key
+
+
+def hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 of a string as hexadecimal digits."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in secret)) for pad in (0x36, 0x5C))
+    hashed = F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256)
+    return F.sha2(F.concat(outer, F.unhex(hashed)), 256)
+
+
+def draw(key: str, seed: Column, place, size) -> Column:
+    """A number below ``size`` from the keyed hash of the seed and a place."""
+    message = F.concat_ws("|", seed, F.lit(place) if isinstance(place, int) else place)
+    number = F.conv(F.substring(hmac(key, message), 1, 12), 16, 10).cast("long")
     return F.pmod(number, size if isinstance(size, Column) else F.lit(size))
 
 
-def shaped(form: Column, seed: Column) -> Column:
+def luhn(digits: Column) -> Column:
+    """The Luhn sum of a string of digits, modulo 10: 0 if its last digit is the right one."""
+    chars = F.reverse(F.split(digits, ""))
+    ints = F.transform(chars, lambda c: c.cast("int"))
+    doubled = F.transform(ints, lambda d, i: F.when(i % 2 == 0, d).otherwise(F.pmod(d * 2, F.lit(10)) + F.when(d > 4, 1).otherwise(0)))
+    return F.aggregate(doubled, F.lit(0), lambda n, d: n + d) % 10
+
+
+def mod97(form: Column) -> Column:
+    """An account number modulo 97, its first four characters last: 1 if its check digits are right."""
+    turned = F.concat(F.substring(form, 5, 99), F.substring(form, 1, 4))
+
+    def step(n: Column, c: Column) -> Column:
+        value = F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return (n * F.when(value > 9, 100).otherwise(10) + value) % 97
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), step)
+
+
+def card_like(form: Column, drawn: Column) -> Column:
+    """``drawn`` with the last digit that passes the Luhn check, if ``form`` passes it."""
+    stem = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
+    last = F.pmod(F.lit(10) - luhn(F.concat(stem, F.lit("0"))), F.lit(10)).cast("string")
+    return F.when(luhn(form) == 0, F.concat(stem, last)).otherwise(drawn)
+
+
+def account_like(form: Column, drawn: Column) -> Column:
+    """``drawn`` (what follows the first four characters) as an account number of the country of ``form``.
+
+    Its check digits are right if those of ``form`` are; wrong ones stay as they are.
+    """
+    country = F.substring(form, 1, 2)
+    right = F.lpad((98 - mod97(F.concat(country, F.lit("00"), drawn))).cast("string"), 2, "0")
+    check = F.when(mod97(form) == 1, right).otherwise(F.substring(form, 3, 2))
+    return F.concat(country, check, drawn)
+
+
+def shaped(key: str, form: Column, seed: Column) -> Column:
     """Another string of the same scripts and cases; what is no letter or digit stays."""
 
     def other(c: Column, i: Column) -> Column:
         out = None
         for pattern, first, size in SCRIPTS:
-            code = draw(seed, i, size) + first
+            code = draw(key, seed, i, size) + first
             # Spark's chr ends at 255; other letters are picked from their alphabet.
             letters = "".join(chr(first + k) for k in range(size))
             letter = F.substring(F.lit(letters), (code - first + 1).cast("int"), F.lit(1))
@@ -116,14 +177,14 @@ def shaped(form: Column, seed: Column) -> Column:
     return F.array_join(F.transform(F.split(form, ""), other), "")
 
 
-def named(kind: Column, form: Column, seed: Column, draws: Column) -> Column:
+def named(key: str, kind: Column, form: Column, seed: Column, draws: Column) -> Column:
     """A name of the kind's gender in the script of the original, a syllable longer at each draw."""
 
     def made(script: str) -> Column:
         syllables = F.split(F.lit(SYLLABLES[script]), " ")
         parts = F.transform(
             F.sequence(F.lit(0), draws + 2),
-            lambda k: F.get(syllables, draw(seed, k, F.size(syllables)).cast("int")),
+            lambda k: F.get(syllables, draw(key, seed, k, F.size(syllables)).cast("int")),
         )
         ending = F.element_at(
             F.create_map(*[F.lit(x) for kv in ENDINGS[script].items() for x in kv]),
@@ -138,7 +199,7 @@ def named(kind: Column, form: Column, seed: Column, draws: Column) -> Column:
     )
 
 
-def surrogate(kind: Column, form: Column, draws: Column) -> Column:
+def surrogate(key: str, kind: Column, form: Column, draws: Column) -> Column:
     """The surrogate form of an entity at its n-th draw."""
     seed = F.concat_ws("|", kind, form, draws)
     host = F.substring_index(form, "@", -1)
@@ -150,16 +211,18 @@ def surrogate(kind: Column, form: Column, draws: Column) -> Column:
     local = F.substring_index(form, "@", 1)
     more = F.when(local.rlike("[0-9]$"), F.lit("0")).otherwise(F.lit("a"))
     local = F.concat(local, F.repeat(more, draws))
-    mail = F.concat(shaped(local, seed), F.lit("@"), shaped(stem, host_seed), label)
-    octets = F.transform(F.split(form, r"\."), lambda _, i: (draw(seed, i, 254) + 1).cast("string"))
+    mail = F.concat(shaped(key, local, seed), F.lit("@"), shaped(key, stem, host_seed), label)
+    octets = F.transform(F.split(form, r"\."), lambda _, i: (draw(key, seed, i, 254) + 1).cast("string"))
     # The first digit of a card tells its kind, the last ten digits of a phone number the line.
-    card = F.concat(F.substring(form, 1, 1), shaped(F.substring(form, 2, 99), seed))
+    card = card_like(form, F.concat(F.substring(form, 1, 1), shaped(key, F.substring(form, 2, 99), seed)))
+    account = account_like(form, shaped(key, F.substring(form, 5, 99), seed))
     return (
         F.when(kind == "email", mail)
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", card)
-        .when(kind == "phone", shaped(form, seed))
-        .otherwise(named(kind, form, seed, draws))
+        .when(kind == "iban", account)
+        .when(kind.isin("phone", "identity"), shaped(key, form, seed))
+        .otherwise(named(key, kind, form, seed, draws))
     )
 
 
@@ -221,7 +284,8 @@ def entities_of(mention: Column, revealed: Column) -> Column:
     form = (
         F.when(F.col("kind") == "email", F.lower(mention))
         .when(F.col("kind") == "phone", line_of(mention, digits))
-        .when(F.col("kind") == "card", digits)
+        .when(F.col("kind").isin("card", "identity"), digits)
+        .when(F.col("kind") == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .otherwise(mention)
     )
     one = F.array(F.struct(F.col("kind"), form.alias("form")))
@@ -245,29 +309,41 @@ def laid(mention: Column, kind: Column, forms: Column) -> Column:
         return F.struct(at.alias("at"), F.concat(a["out"], own).alias("out"))
 
     number = F.aggregate(chars, start, step, lambda a: a["out"])
+    # Account numbers: the surrogate's characters in order, blanks stay.
+    whole = F.aggregate(
+        chars,
+        F.struct(F.lit(1).alias("at"), F.lit("").alias("out")),
+        lambda a, c: F.struct(
+            (a["at"] + F.when(c == " ", 0).otherwise(1)).alias("at"),
+            F.concat(a["out"], F.when(c == " ", c).otherwise(F.substring(form, a["at"], F.lit(1)))).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
     mail = F.when(mention == F.upper(mention), F.upper(form)).otherwise(form)
     title = F.when(F.instr(mention, " ") > 0, F.substring_index(mention, " ", 1))
     name = F.concat_ws(" ", title, F.array_join(forms, " "))
     return (
         F.when(kind == "email", mail)
         .when(kind == "ip", form)
+        .when(kind == "iban", whole)
         .when(kind == "name", name)
         .otherwise(number)
     )
 
 
-def assign(entities: DataFrame) -> DataFrame:
+def assign(entities: DataFrame, key: str | None = None) -> DataFrame:
     """``kind, form, surrogate`` of distinct entities; surrogates of a kind are distinct.
 
     Clashing entities draw again; those that are settled are looked at as taken. Names and mail
     addresses get more places at each draw, so they always settle.
     """
+    key = key_of(entities.sparkSession, key)
     originals = written(entities.select("kind", "form").distinct(), "entities")
     done = None
     open_ = originals
     stuck = 0
     for draws in count():
-        drawn = open_.withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.lit(draws)))
+        drawn = open_.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("form"), F.lit(draws)))
         taken = originals.select("kind", F.col("form").alias("surrogate"))
         if done is not None:
             taken = taken.unionByName(done.select("kind", "surrogate"))
@@ -286,7 +362,9 @@ def assign(entities: DataFrame) -> DataFrame:
             raise RuntimeError(f"no free surrogates left: {', '.join(sorted(kinds))}")
 
 
-def replace_entities(docs: DataFrame, text: str = "text", out: str = "entities") -> DataFrame:
+def replace_entities(
+    docs: DataFrame, text: str = "text", out: str = "entities", key: str | None = None
+) -> DataFrame:
     """``docs`` with surrogates in the text, and the replaced mentions as an array of structs
     (kind, start, end): places in the original text, in code points."""
     out = spare(docs, out)
@@ -322,7 +400,7 @@ def replace_entities(docs: DataFrame, text: str = "text", out: str = "entities")
     )
     parts = mentions.select("text_key", "n", F.posexplode("entities").alias("part", "entity"))
     parts = parts.select("text_key", "n", "part", "entity.kind", "entity.form")
-    surrogates = assign(parts)
+    surrogates = assign(parts, key)
     filled = parts.join(surrogates, ["kind", "form"])
     by_text = filled.groupBy("text_key").agg(
         F.array_sort(F.collect_list(F.struct("n", "part", "surrogate"))).alias("forms")
@@ -378,9 +456,9 @@ def rebuild(found: Column, between: Column, forms: Column) -> Column:
     )
 
 
-def anonymised(docs: DataFrame, text: str = "text") -> DataFrame:
+def anonymised(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """Documents with surrogates, in the columns they came with."""
-    done = replace_entities(docs, text)
+    done = replace_entities(docs, text, key=key)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         done = done.withColumn("n_chars", F.coalesce(F.length(text).cast(kind), F.col("n_chars")))
