@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbena.functions.text import MASK, is_one_of
-from verbena.operators.joins import lookup
+from verbena.operators.joins import lookup, lookups
 from verbena.session import written
 
 START = ""  # stands before the first token; no token is empty
@@ -103,14 +103,28 @@ def fit_bigram(
     """Add p_<part>: the chance of ``token`` after ``prev``, smoothed towards the unigram.
 
     A pair a part has not seen falls back on its unigram, as the count is zero. Frequent
-    words stand in very many pairs, hence the lookups that split hot keys. ``words`` and
-    ``contexts`` should be written tables.
+    words stand in very many pairs, hence the lookups that split hot keys; no word stands in more
+    pairs than it was counted. ``pairs``, ``words`` and ``contexts`` should be written tables.
     """
-    unigrams = words.select("token", *[F.col(f"p_{p}").alias(f"_p_{p}") for p in parts])
-    leaders = contexts.withColumnRenamed("prev", "_leader")
+
+    def counted(table: DataFrame, mark: str) -> Column:
+        """The sum of all counts of a word."""
+        counts = [F.col(c) for c in table.columns if c.startswith(mark)]
+        return reduce(lambda x, y: x + y, counts).alias("_degree")
+
+    values = [F.col(f"p_{p}").alias(f"_p_{p}") for p in parts]
+    unigrams = words.select("token", *values, counted(words, "n_"))
+    leaders = contexts.select(
+        F.col("prev").alias("_leader"),
+        *[f"context_{p}" for p in parts],
+        counted(contexts, "context_"),
+    )
     started = pairs.withColumn("_leader", F.when(F.col("prev") != START, F.col("prev")))
-    near = lookup(started, leaders, ["_leader"], ["prev", "token"])
-    both = lookup(near, unigrams, ["token"], ["prev", "token"])
+    both = lookups(
+        started,
+        [(leaders, ["_leader"], "_degree"), (unigrams, ["token"], "_degree")],
+        ["prev", "token"],
+    )
     inner = F.col("_leader").isNotNull()
     return both.select(
         *pairs.columns,

@@ -559,9 +559,10 @@ def losses_against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def loss_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean document loss over all margins of language and labels."""
-    words = written(document_words(spark, sf_dir).select("token", "p_base"), "words")
+    counted = (F.col("n_train") + F.col("n_base")).alias("n")
+    words = written(document_words(spark, sf_dir).select("token", "p_base", counted), "words")
     docs = documents(spark, sf_dir, "doc_id", "lang", "text")
-    tokens = lookup(tokenize(docs, ["doc_id", "lang"]), words, ["token"], ["doc_id", "pos"])
+    tokens = lookup(tokenize(docs, ["doc_id", "lang"]), words, ["token"], ["doc_id", "pos"], "n")
     scores = tokens.withColumn("logp", F.ln("p_base"))
     losses = lm_loss(scores, ["doc_id", "lang"])
     labelled = losses.join(read(spark, sf_dir, "labels"), "doc_id", "left")
