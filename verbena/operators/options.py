@@ -62,9 +62,9 @@ def nest_options(options: DataFrame, keys: list[str], text: str = "options") ->
     """The reverse: one JSON object per run, its fields in the order of their names.
 
     With a ``pos`` column, a key with several values becomes a list; without one, a key
-    must be unique in its run. The deepest fields are folded into their parent first, as many
-    times as the longest key has parts, so what a task gathers at once is the values of one key
-    or the fields of one object. Rows without a key are left out. A key that has a value and
+    must be unique in its run. The deepest fields are folded into their parent first, and a leaf
+    takes part from its own depth up. The rows of a run meet in one task once, and what is gathered
+    at once is the values of one key or the fields of one object. Rows without a key are left out. A key that has a value and
     fields as well is an error.
     """
     rows = options.filter("key IS NOT NULL").withColumn("_json", json_text(F.col("value")))
@@ -76,33 +76,44 @@ def nest_options(options: DataFrame, keys: list[str], text: str = "options") ->
         rows = rows.groupBy(*keys, "key").agg(
             F.when(F.count("*") == 1, F.max("_json")).otherwise(listed).alias("_json")
         )
-    rows = rows.select(*keys, F.split("key", r"\.").alias("_path"), "_json")
+    rows = written(rows.select(*keys, F.split("key", r"\.").alias("_path"), "_json"), "leaves")
     longest = rows.agg(F.max(F.size("_path"))).first()[0] or 0
+    # Each leaf moves once, to its run; the groups of every depth are parts of a run.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clash = F.concat(F.lit("an option has a value and fields: "), F.array_join("_path", "."))
+
+    def leaves(depth: int) -> DataFrame:
+        own = rows.filter(F.size("_path") == depth).repartition(parts, *keys)
+        return own.select(*keys, "_path", "_json", F.lit(False).alias("_object"))
+
+    nested = None
     for depth in range(longest, 0, -1):
-        deep = F.size("_path") >= depth
-        parent = F.when(deep, F.slice("_path", 1, depth - 1)).otherwise(F.col("_path"))
-        name = F.when(deep, F.element_at("_path", F.lit(depth)))
-        rows = rows.select(*keys, parent.alias("_parent"), name.alias("_name"), "_json")
-        # Without a name the row is shorter than this depth and waits.
-        field = F.when(
-            F.col("_name").isNotNull(), F.concat(json_text(F.col("_name")), F.lit(":"), F.col("_json"))
-        )
-        rows = rows.groupBy(*keys, F.col("_parent").alias("_path")).agg(
-            F.array_sort(F.collect_list(field)).alias("_fields"),
-            F.max(F.when(F.col("_name").isNull(), F.col("_json"))).alias("_kept"),
-        )
-        both = F.raise_error(
-            F.concat(F.lit("an option has a value and fields: "), F.array_join("_path", "."))
-        ).cast("string")
-        rows = rows.select(
-            *keys,
-            "_path",
-            F.when(F.col("_kept").isNull(), F.concat(F.lit("{"), F.array_join("_fields", ","), F.lit("}")))
-            .when(F.size("_fields") == 0, F.col("_kept"))
-            .otherwise(both)
-            .alias("_json"),
+        here = leaves(depth)
+        if nested is not None:
+            here = (
+                here.unionByName(nested.withColumn("_object", F.lit(True)))
+                .groupBy(*keys, "_path")
+                .agg(F.max("_json").alias("_json"), F.count_if("_object").alias("_objects"), F.count("*").alias("_n"))
+                .withColumn(
+                    "_json",
+                    F.when(F.col("_objects") % F.col("_n") == 0, F.col("_json")).otherwise(
+                        F.raise_error(clash).cast("string")
+                    ),
+                )
+            )
+        field = F.concat(json_text(F.element_at("_path", F.lit(depth))), F.lit(":"), F.col("_json"))
+        nested = (
+            here.groupBy(*keys, F.slice("_path", 1, depth - 1).alias("_path"))
+            .agg(F.array_sort(F.collect_list(field)).alias("_fields"))
+            .select(
+                *keys,
+                "_path",
+                F.concat(F.lit("{"), F.array_join("_fields", ","), F.lit("}")).alias("_json"),
+            )
         )
-    return rows.select(*keys, F.col("_json").alias(text))
+    if nested is None:
+        return rows.select(*keys, F.col("_json").alias(text))
+    return nested.select(*keys, F.col("_json").alias(text))
 
 
 def coerce_option(options: DataFrame, value: str = "value") -> DataFrame:

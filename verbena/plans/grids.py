@@ -24,7 +24,7 @@ from verbena.operators.options import (
 )
 from verbena.plans.registry import query
 from verbena.plans.tables import read
-from verbena.session import fresh_path
+from verbena.session import fresh_path, spread
 from verbena.sources.results import write_results
 from verbena.sources.scripts import parse_run_scripts, read_run_configs
 
@@ -152,7 +152,8 @@ def event_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"}}}}}}}}}}'),
     )
     good = F.col("event_id") % 13 != 0
-    return read(spark, sf_dir, "events").select(
+    events = spread(read(spark, sf_dir, "events").select("event_id", "event_type", "props"))
+    return events.select(
         "event_id", F.when(good, payload).otherwise(F.lit("no options")).alias("payload")
     )
 
