@@ -161,6 +161,71 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(docs.limit(0), none).count() == 0
 
 
+def test_training_takes_every_row(spark, monkeypatch):
+    """A word and a language that only rows behind the first 2,000 of their class hold."""
+    monkeypatch.setattr(toxicity, "SHARD", 3000)  # several shards
+    ids = spark.range(16_000).select(F.col("id").alias("doc_id"), toxicity.remainder(F.col("id")).alias("part"))
+    listed = ids.withColumn("at", F.xxhash64("doc_id", F.lit("sample"))).orderBy("at").collect()
+    part = {k: [r["doc_id"] for r in listed if (r["part"] == 1) == (k == 1) and r["part"] != 0] for k in (1, 2)}
+    late = set(part[1][-400:]) | set(part[2][-400:])
+    rng = np.random.default_rng(6)
+    rows = []
+    for r in listed:
+        k, toxic = r["doc_id"], int(r["doc_id"] in late or rng.random() < 0.75)
+        bad = "zonk" if k in late else "vile" if toxic else "fine"
+        rows.append((k, " ".join([*rng.choice(list("abcdefgh"), 5), bad]), "rare" if k in late else "en", toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int").repartition(5)
+    assert sum(r[3] for r in rows if r[0] in set(part[1][:-400])) > 2000
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert set(model.thresholds) == {"en", "rare"}
+    scorer = toxicity.Scorer(model)
+    assert [scorer.score(f"a b c {w}") >= 0.5 for w in ("zonk", "vile", "fine")] == [True, True, False]
+
+
+def test_every_shard_moves_the_model():
+    """The moves of two shards, added up as Spark does, against two runs by hand."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice([f"w{k}" for k in "abcdefgh"], 9)) for _ in range(80)]
+    rows = [(k % 2, t, int("wa wb" in t)) for k, t in enumerate(texts)]
+    rows.sort(key=lambda r: r[0])
+    start = toxicity.Trainer(toxicity.Model.new())
+    ends = [toxicity.Trainer(toxicity.Model.new()) for _ in range(2)]
+    for k, end in enumerate(ends):
+        own, words = [r for r in rows if r[0] == k], toxicity.Words()
+        for at in range(0, len(own), toxicity.BATCH):
+            batch = own[at : at + toxicity.BATCH]
+            coded = words.codes([t for _, t, _ in batch])
+            end.step(coded, words.buckets, np.array([y for *_, y in batch], float), 0.01)
+    parts = [dict(toxicity.shard_moves(start, 0.01, iter(half)).rows()) for half in (rows[:40], rows[40:])]
+    sums = {k: sum(np.frombuffer(p[k], np.float32).astype(float) for p in parts) for k in parts[0]}
+    held = [end.drift.any(axis=1) for end in ends]
+    first = toxicity.Model.new().embed
+    toxicity.move(start, sums)
+    for b in range(toxicity.BUCKETS):
+        own = [end.model.embed[b] for end, h in zip(ends, held, strict=True) if h[b]]
+        assert np.allclose(start.model.embed[b], np.mean(own, axis=0) if own else first[b], atol=1e-6)
+    for p, *own in zip(start.params, *[end.params for end in ends], strict=True):
+        assert np.allclose(p, np.mean(own, axis=0), atol=1e-6)
+    assert start.model.shift == pytest.approx(np.mean([end.model.shift for end in ends]), abs=1e-6)
+
+
+def test_thresholds_against_every_cut(spark):
+    rng = np.random.default_rng(8)
+    rows = [(lang, int(rng.random() < 0.3), float(rng.integers(0, 40)) / 40) for lang in ("a", "b", "") for _ in range(90)]
+    rows += [("none", 0, 0.9), ("one", 1, 0.3)]
+    scored = spark.createDataFrame(rows, "lang string, toxic int, score double").repartition(4)
+    found = {r["lang"]: r["threshold"] for r in toxicity.best_thresholds(scored).collect()}
+    expected = {}
+    for lang in (None, "a", "b", "", "one"):
+        own = [(s, y) for x, y, s in rows if lang is None or x == lang]
+        cuts = sorted({s for s, _ in own}, reverse=True)
+        every = sum(y for _, y in own)
+        f1 = [2 * sum(y for s, y in own if s >= c) / (sum(s >= c for s, _ in own) + every) for c in cuts]
+        at = int(np.argmax(f1))
+        expected[lang] = (cuts[at] + (cuts[at + 1] if at + 1 < len(cuts) else 0)) / 2
+    assert found == pytest.approx(expected)
+
+
 def plain_score(model, text):
     """The classifier as a plain loop over places, filters and components."""
     words = [model.embed[toxicity.features(w)].sum(axis=0).astype(float) for w in toxicity.words_in(text)]
