@@ -20,7 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the least id.
 
-    Near are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    They meet by the fingerprints and anchors of op1, and by min-hashes and prefixes where those differ in more
+    bits. Near are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     """
     return near_copies.one_of_each(docs)
 

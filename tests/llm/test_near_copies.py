@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from verbena.llm import near_copies, quality
+from verbena.llm import near_copies, quality, simhash
 
 
 def shingle_set(text):
@@ -118,3 +120,38 @@ def test_a_large_star_is_not_compared_in_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert kept(near_copies.one_of_each(docs)) == sorted(brute_kept(dict(rows)))
     assert sum(compared) < 10_000
+
+
+def test_fingerprints_find_links_of_their_own(spark, monkeypatch):
+    """Without a min-hash key in common, copies that op1's fingerprints bring together are still one."""
+    marks, none = near_copies.marks, F.array().cast("array<bigint>")
+    monkeypatch.setattr(near_copies, "marks", lambda text, size: marks(text, size).withField("keys", none))
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    texts = {k: [rng.choice(words) for _ in range(900)] for k in range(12)}
+    for k in range(12):
+        texts[100 + k] = [*texts[k][:450], "new", *texts[k][451:]]
+    rows = [(k, " ".join(t)) for k, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    prints = {k: simhash.fingerprint(t.encode()) for k, t in rows}
+    near = {k for k in range(12) if ((prints[k] ^ prints[100 + k]) & (2**64 - 1)).bit_count() <= 3}
+    assert len(near) >= 6
+    left = kept(corpus_pipeline.near_duplicates(spark, docs, ""))
+    assert left == sorted({*range(12), *(100 + k for k in range(12) if k not in near)})
+
+
+def test_a_group_of_fingerprints_is_checked(spark, monkeypatch):
+    """Texts of one fingerprint but few common shingles stay, and a large group is a row for each node."""
+    sizes = []
+    similar = near_copies.similar
+
+    def counted(pairs, sets, least):
+        sizes.append(pairs.count())
+        return similar(pairs, sets, least)
+
+    monkeypatch.setattr(near_copies, "similar", counted)
+    monkeypatch.setattr(near_copies, "fingerprints", lambda text: F.lit(5).cast("long"))
+    rows = [(k, " ".join(f"w{k // 2}x{i}" for i in range(40)) + (" end" if k % 2 else "")) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert kept(near_copies.one_of_each(docs)) == sorted(brute_kept(dict(rows))) == list(range(0, 60, 2))
+    assert sizes[0] == 59 and sum(sizes) < 200

@@ -1,7 +1,12 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles.
+"""Near copies by SimHash anchors, and by the exact Jaccard similarity of five-word shingles.
 
-Each text is the set of the XXH64 values of its shingles; texts with equal sets are one node. Nodes that
-may have a near copy come from ``BANDS`` keys a node, each over ``WIDTH`` min-hashes: two sets of similarity
+Each text is the set of the XXH64 values of its shingles; texts with equal sets are one node. Nodes first
+meet by the fingerprints of :mod:`verbena.llm.simhash`: texts whose fingerprints differ in at most three
+bits are found by its anchors and are one of its groups, and each node is compared with the first of its
+group. What this joins needs no other comparison. Edited copies differ in more bits, so the similarity
+decides which groups hold and finds the rest.
+
+Further nodes that may have a near copy come from ``BANDS`` keys a node, each over ``WIDTH`` min-hashes: two sets of similarity
 0.8 have none of the keys in common once in two million times (by calculation), more similar ones less
 often. A pair is linked if the Jaccard similarity of its sets, counted in full, reaches the least one
 asked for.
@@ -29,8 +34,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verbena.llm.components import components
-from verbena.llm.simhash import grouped, kept_rows, row_hash
+from verbena.llm.simhash import fingerprints, grouped, kept_rows, near_pairs, row_hash
 from verbena.llm.support import ship, text_of
+from verbena.operators.joins import lookup
 from verbena.session import written
 
 SEED = 42
@@ -174,9 +180,25 @@ def met_pairs(here: DataFrame, there: DataFrame, least: float) -> DataFrame:
     return both.filter(may_reach(least)).select(*pair("fp", "other_fp")).distinct()
 
 
-def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """Links that join what the pairs of similar sets (fp, own) join."""
-    entries, links, done = rooted(written(prefixes(sets, least), "prefixes"), None), None, None
+def print_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node and the first of its group, by ``prints``: fp and a fingerprint of its texts.
+
+    A group holds the fingerprints that links of at most three bits lead to, as those of ``op1`` do.
+    """
+    links = near_pairs(prints.select("print").distinct(), "print")
+    roots = components(links).withColumnRenamed("node", "print")
+    named = prints.join(roots, "print", "left").select("fp", F.coalesce("root", "print").alias("root"))
+    named = written(named.distinct(), "groups")
+    hubs = named.groupBy("root").agg(F.min("fp").alias("hub"), F.max("fp").alias("last")).filter("hub <> last")
+    # Groups of one node have no hub; the rows of a large group do not meet in one task.
+    met = lookup(named, written(hubs.select("root", "hub"), "hubs"), ["root"], ["fp"]).filter("fp <> hub")
+    return met.select(*pair("fp", "hub")).distinct()
+
+
+def similar_pairs(sets: DataFrame, least: float, asked: DataFrame | None = None) -> DataFrame:
+    """Links that join what the pairs of similar sets (fp, own) join; the pairs ``asked`` come first."""
+    links, done = None if asked is None else written(similar(asked, sets, least), "near"), asked
+    entries = rooted(written(prefixes(sets, least), "prefixes"), links)
     columns = F.struct("place", "size", "fp", "root")
     for turn in range(HUBS + 1):
         if turn < HUBS:
@@ -214,9 +236,13 @@ def near_groups(
     ship(docs.sparkSession)
     value = marks(text_of(text), size)
     marked = docs.select(
-        F.col(key).alias("doc_id"), row_hash(docs).alias("row_hash"), value.alias("marks")
-    ).select("doc_id", "row_hash", "marks.*")
+        F.col(key).alias("doc_id"),
+        row_hash(docs).alias("row_hash"),
+        value.alias("marks"),
+        fingerprints(text_of(text)).alias("print"),
+    ).select("doc_id", "row_hash", "marks.*", "print")
     marked = written(marked, "shingles")
+    first = written(print_pairs(written(marked.select("fp", "print").distinct(), "prints")), "print_pairs")
     # One row of each node stands for it.
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")
     nodes = written(
@@ -226,7 +252,8 @@ def near_groups(
     visits = written(once.select("fp", F.explode("keys").alias("key")).distinct(), "keys")
     ends = visits.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
     shared = visits.join(ends.filter("low <> high").select("key"), "key")
-    asked = nodes.join(shared.select("fp").distinct(), "fp").select(
+    ends = first.select(F.explode(F.array("a", "b")).alias("fp"))
+    asked = nodes.join(shared.select("fp").union(ends).distinct(), "fp").select(
         "fp", F.col("row.doc_id").alias("row_id"), F.col("row.row_hash").alias("hash")
     )
     rows = docs.select(
@@ -235,7 +262,7 @@ def near_groups(
     found = rows.join(asked, F.col("id").eqNullSafe(F.col("row_id")) & (F.col("own") == F.col("hash")))
     texts = found.select("fp", "value").dropDuplicates(["fp"])
     sets = written(texts.select("fp", shingle_sets(F.col("value"), size).alias("own")), "sets")
-    return grouped(marked.drop("keys"), nodes, similar_pairs(sets, least))
+    return grouped(marked.drop("keys", "print"), nodes, similar_pairs(sets, least, first))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
