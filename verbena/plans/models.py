@@ -539,8 +539,14 @@ def losses_against_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     near = neighbours(conversations(spark, sf_dir), item).drop("next")
     tokens = score_tokens(near, scored, item, "n")
+    # The tokens are scored once: both losses are those of one row an item, of as many tokens.
+    means = [(F.sum(c) / F.count("*")).alias(c) for c in ("model_logp", "base_logp")]
+    items = written(tokens.groupBy(*item).agg(F.count("*").alias("count"), *means), "items")
     paired = pair_with_baseline(
-        lm_loss(tokens, item, "model_logp"), lm_loss(tokens, item, "base_logp"), item, "loss"
+        lm_loss(items, item, "model_logp", F.col("count")),
+        lm_loss(items, item, "base_logp", F.col("count")),
+        item,
+        "loss",
     )
     return paired.select(*item, *[F.round(c, 6).alias(c) for c in ("loss", "base_loss", "delta")])
 
