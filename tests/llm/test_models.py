@@ -182,6 +182,77 @@ def test_training_takes_every_row(spark, monkeypatch):
     assert [scorer.score(f"a b c {w}") >= 0.5 for w in ("zonk", "vile", "fine")] == [True, True, False]
 
 
+def test_rounds_read_no_text(spark, monkeypatch):
+    """Words are found once, however many rounds there are, and the rounds move the model as they do from texts."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{k}" for k in "abcdéfgh"], 9)) for _ in range(150)]
+    rows = [(0, t, int("wa wb" in t)) for t in [*texts, ""]]
+    table = spark.createDataFrame(rows, "shard int, text string, toxic int").coalesce(1)
+    read, plain = [], type(table).mapInArrow
+    monkeypatch.setattr(type(table), "mapInArrow", lambda df, *rest: read.append(df.columns) or plain(df, *rest))
+    model = toxicity.fit_shards(table, 0.5)
+    assert len(read) == toxicity.EPOCHS + 1 and sum("text" in columns for columns in read) == 1
+    by_hand = toxicity.Trainer(toxicity.Model.new())
+    for epoch in range(toxicity.EPOCHS):
+        parts = toxicity.shard_moves(by_hand, toxicity.RATE / (1 + epoch), iter(rows)).rows()
+        toxicity.move(by_hand, {k: np.frombuffer(sums, np.float32).astype(float) for k, sums in parts})
+    assert np.array_equal(model.embed, by_hand.model.embed) and model.shift == by_hand.model.shift
+    assert all(np.array_equal(a, b) for a, b in zip(model.filters, by_hand.model.filters, strict=True))
+
+
+def test_batches_of_a_shard_stay_together(spark, tmp_path):
+    """Reading splits no shard, even where the session writes small row groups and reads small parts of files."""
+    rng = np.random.default_rng(9)
+    rows = [(k // 8000, " ".join(rng.choice([f"{a}{b}" for a in "abcdefgh" for b in "ijklmnop"], 20)), 0) for k in range(16_000)]
+    spark.createDataFrame(rows, "shard int, text string, toxic int").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    hadoop, key = spark.sparkContext._jsc.hadoopConfiguration(), "spark.sql.files.maxPartitionBytes"
+    hadoop.setInt("parquet.block.size", 1 << 15)
+    try:
+        table = toxicity.coded_table(spark.read.parquet(str(tmp_path / "rows")))
+        spark.conf.set(key, 1 << 15)
+        parts = table.withColumn("part", F.spark_partition_id()).select("shard", "part").distinct().collect()
+        assert table.rdd.getNumPartitions() > 2 and len(parts) == 2
+    finally:
+        hadoop.unset("parquet.block.size")
+        spark.conf.unset(key)
+
+
+def test_batches_as_rows():
+    """A batch comes back from its row, with few and with over 65,536 words."""
+    for n in (0, 1, 70_000):
+        words = toxicity.Words()
+        coded = words.codes([" ".join(f"{chr(97 + k % 26)}{'x' * (k % 7)}{chr(0x4E00 + k // 182)}" for k in range(n)), "a b a"])
+        batch = toxicity.Coded.of(coded, words.buckets, np.array([1.0, 0.0]))
+        again = toxicity.Coded.from_row(*batch.row())
+        assert len(batch.buckets) >= n
+        for name in ("places", "sizes", "buckets", "labels"):
+            assert np.array_equal(getattr(batch, name), getattr(again, name))
+
+
+def test_features_against_plain_checksums():
+    letters = ["a", "b", "z", "é", "ß", "中", "𝔘"]
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(letters, n)) for n in [*range(1, 45), 5000] for _ in range(5)]
+    words += ["x" * n for n in range(30, 36)]
+    plain = [
+        [zlib.crc32(part.encode()) % toxicity.BUCKETS for part in ("w" + w, "3" + w[:3], "4" + w[:4], "5" + w[:5], "e" + w[-4:])]
+        for w in words
+    ]
+    assert toxicity.features_of(words).tolist() == plain
+    assert [toxicity.features(w) for w in words] == plain
+    assert toxicity.features_of([]).shape == (0, 5)
+
+
+def test_texts_are_scored_together_as_alone(monkeypatch):
+    texts = ["", "one", "one two", "Straße é 中文 x1y2", "a b c d e f g " * 50, "", "two one", ""]
+    scorer = toxicity.Scorer(toxicity.fit(texts * 4, np.array([0, 1, 0, 1, 1, 0, 1, 0] * 4, float), 0.4))
+    alone = [scorer.score(t) for t in texts]
+    for group in (1, 3, 1000):
+        monkeypatch.setattr(toxicity, "GROUP", group)
+        assert list(scorer.scores(texts)) == pytest.approx(alone, abs=1e-6)
+    assert list(scorer.scores([])) == []
+
+
 def test_every_shard_moves_the_model():
     """The moves of two shards, added up as Spark does, against two runs by hand."""
     rng = np.random.default_rng(2)

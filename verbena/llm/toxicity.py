@@ -6,14 +6,15 @@ its largest response (max pooling), and a logistic layer turns these into a scor
 calibrated for each language on labelled rows that were not fitted on, and reported beside the score.
 Scoring reads the text alone.
 
-Training takes every labelled row. Rows are dealt out to shards by a hash of their id. In each round a
-task goes through its shards, each from the common model on, and adds up how far they moved it; the
-sums of all tasks are added by blocks of the embeddings, and the common model moves by the mean of its
-shards, an embedding by the mean of those that hold it. Only the model, which has a fixed size, passes
-through the driver. Thresholds come from the counts of labels by score over all rows kept for them.
+Training takes every labelled row. Rows are dealt out to shards by a hash of their id, and their words are
+found and hashed once, into a table of batches that every round reads. In each round a task goes through
+its shards, each from the common model on, and adds up how far they moved it; the sums of all tasks are
+added by blocks of the embeddings, and the common model moves by the mean of its shards, an embedding by
+the mean of those that hold it. Only the model, which has a fixed size, passes through the driver.
+Thresholds come from the counts of labels by score over all rows kept for them.
 
-In tasks, filters are applied to embeddings once for each word: a word's row holds its part of
-every filter at every place, and a text adds shifted rows and takes their maxima.
+In tasks, filters are applied to embeddings once for each distinct word of some texts: a word's row holds its
+part of every filter at every place, and a text adds shifted rows and takes their maxima.
 
 Defined cases. A null or empty text is padded like any short one and gets the score of no words.
 Ids may be null (never held out) or repeated; each row is scored by itself. Labels that are null,
@@ -27,7 +28,7 @@ import copy
 import pickle
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import batched, groupby
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from verbena.llm.support import ship, text_of
 from verbena.operators.joins import is_small
 from verbena.operators.ordering import running, running_sum, value_chunks
-from verbena.session import written
+from verbena.session import fresh_path, written
 
 BUCKETS = 1 << 15
 DIM = 12
@@ -54,32 +55,58 @@ BATCH = 32
 RATE = 0.01
 HELD_OUT = 5  # one row in five, by checksum of the id
 CALIBRATE = 1  # the remainder of the rows kept for thresholds
-STORED = 150_000  # words whose rows a worker keeps
+STORED = 150_000  # words whose codes a worker keeps
+GROUP = 1 << 16  # words of texts that are scored together, about
+WHOLE = 1 << 30  # bytes of a row group of batches, at most: more than a task writes of the text it reads
 
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
-WHOLE = zlib.crc32(b"w")  # a checksum goes on from that of the first bytes
-
-
-class Affixes(dict):
-    """Buckets of marked affixes, which words share."""
-
-    def __missing__(self, part: str) -> int:
-        if len(self) > STORED:
-            self.clear()
-        bucket = self[part] = zlib.crc32(part.encode()) % BUCKETS
-        return bucket
-
-
-_affixes = Affixes()
+PLAIN = 32  # bytes of a word up to which checksums are taken for all words at once
+
+#: What a byte does to a CRC-32, as zlib's table.
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, np.uint32(0xEDB88320), np.uint32(0)) ^ (CRC >> np.uint32(1))
+
+
+def checksums(data: np.ndarray, first: np.ndarray, last: np.ndarray, mark: bytes) -> np.ndarray:
+    """The CRC-32 of the mark and ``data[first:last]``, for each pair of places."""
+    sizes = last - first
+    order = np.argsort(-sizes, kind="stable")
+    falling, at = -sizes[order], first[order]
+    known = zlib.crc32(mark)
+    crc = np.full(len(order), known ^ 0xFFFFFFFF, np.uint32)
+    longer = int(np.searchsorted(falling, -PLAIN))
+    for j in range(min(PLAIN, int(sizes.max(initial=0)))):
+        some = crc[: np.searchsorted(falling, -j)]  # words of over j bytes
+        some[:] = CRC[(some ^ data[at[: len(some)] + j]) & 255] ^ (some >> np.uint32(8))
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    for i in order[:longer]:
+        out[i] = zlib.crc32(data[first[i] : last[i]], known)
+    return out
+
+
+def features_of(words: list[str] | pa.Array) -> np.ndarray:
+    """Buckets of words' features: the word (w), its first letters (3, 4, 5) and its last ones (e)."""
+    array = pa.array(words, pa.large_string()) if isinstance(words, list) else words
+    bounds = np.frombuffer(array.buffers()[1], np.int64)[array.offset :][: len(array) + 1]
+    data = np.frombuffer(array.buffers()[2] or b"", np.uint8)[: bounds[-1] if len(array) else 0]
+    begins = (data & 0xC0) != 0x80  # a character begins here
+    starts = np.append(np.flatnonzero(begins), len(data))
+    places = np.append(0, np.cumsum(begins))[bounds if len(array) else [0]]
+    first, last = places[:-1], places[1:]
+    parts = [(b"w", first, last)]
+    parts += [(b"%d" % k, first, np.minimum(first + k, last)) for k in (3, 4, 5)]
+    parts += [(b"e", np.maximum(last - 4, first), last)]
+    found = [checksums(data, starts[a], starts[b], mark) % BUCKETS for mark, a, b in parts]
+    return np.stack(found, axis=1).astype(np.int64)
 
 
 def features(word: str) -> list[int]:
-    """Buckets of a word's features: the word (w), its first letters (3, 4, 5) and its last ones (e)."""
-    of = _affixes
-    whole = zlib.crc32(word.encode(), WHOLE) % BUCKETS
-    return [whole, of["3" + word[:3]], of["4" + word[:4]], of["5" + word[:5]], of["e" + word[-4:]]]
+    """``features_of`` one word."""
+    return features_of([word])[0].tolist()
 
 
 #: Latin-1 by letter or blank, so that most texts need no regular expression.
@@ -164,13 +191,12 @@ class Words(dict):
 
     def __init__(self):
         self.buckets = np.zeros((STORED, 5), np.int64)
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         """A new word's code is the number of words known before it."""
         code = self[word] = len(self)
-        if code == len(self.buckets):
-            self.buckets = np.vstack([self.buckets, np.zeros_like(self.buckets)])
-        self.buckets[code] = features(word)
+        self.new.append(word)
         return code
 
     def codes(self, texts: list[str]) -> list[np.ndarray]:
@@ -178,7 +204,45 @@ class Words(dict):
         if len(self) > STORED:
             self.clear()
         found = map(words_in, texts)
-        return [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in found]
+        coded = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in found]
+        if len(self) > len(self.buckets):
+            self.buckets = np.vstack([self.buckets, np.zeros((len(self), 5), np.int64)])
+        self.buckets[len(self) - len(self.new) : len(self)] = features_of(self.new)
+        self.new.clear()
+        return coded
+
+
+@dataclass
+class Coded:
+    """A batch of texts, given by its distinct words."""
+
+    places: np.ndarray  # of the texts' words, one text after the other: their rows in buckets
+    sizes: np.ndarray  # words of each text
+    buckets: np.ndarray  # of the distinct words
+    labels: np.ndarray
+
+    @classmethod
+    def of(cls, coded: list[np.ndarray], buckets: np.ndarray, labels: np.ndarray) -> Coded:
+        """The batch of texts that are given as codes of words."""
+        used, places = np.unique(np.concatenate(coded), return_inverse=True)
+        return cls(places, np.array([len(c) for c in coded]), buckets[used], labels)
+
+    def row(self) -> list[bytes]:
+        """The batch as ``from_row`` reads it."""
+        kinds = kind_of(len(self.buckets)), "<i4", "<u2", "<f8"
+        parts = self.places, self.sizes, self.buckets, self.labels
+        return [part.astype(kind).tobytes() for part, kind in zip(parts, kinds, strict=True)]
+
+    @classmethod
+    def from_row(cls, places: bytes, sizes: bytes, buckets: bytes, labels: bytes) -> Coded:
+        of = np.frombuffer(buckets, "<u2").reshape(-1, 5).astype(np.int64)
+        at, n = np.frombuffer(places, kind_of(len(of))), np.frombuffer(sizes, "<i4")
+        return cls(at.astype(np.int64), n.astype(np.int64), of, np.frombuffer(labels, "<f8"))
+
+
+def kind_of(rows: int) -> str:
+    """The smallest type that numbers so many rows."""
+    return "<u2" if rows <= 1 << 16 else "<i4"
 
 
 class Trainer:
@@ -195,11 +259,14 @@ class Trainer:
 
     def step(self, coded: list[np.ndarray], buckets: np.ndarray, labels: np.ndarray, rate: float):
         """Move the model by one batch of texts, given as codes of words."""
-        model, n = self.model, len(coded)
-        sizes = np.array([len(c) for c in coded])
+        self.step_by(Coded.of(coded, buckets, labels), rate)
+
+    def step_by(self, batch: Coded, rate: float) -> None:
+        """Move the model by one batch of texts."""
+        model, n = self.model, len(batch.sizes)
+        inverse, sizes, labels = batch.places, batch.sizes, batch.labels
         first = np.cumsum(sizes) - sizes
-        used, inverse = np.unique(np.concatenate(coded), return_inverse=True)
-        vectors = model.embed[buckets[used]].sum(axis=1)
+        vectors = model.embed[batch.buckets].sum(axis=1)
         rows = np.hstack([vectors @ f[k] for f in model.filters for k in range(len(f))])
         found = [model.pooled_from(rows, inverse[a : a + k]) for a, k in zip(first, sizes, strict=True)]
         where = np.array([w for _, w in found])
@@ -210,7 +277,7 @@ class Trainer:
         grads[-1] += error @ active
         grads[-2] += back.sum(axis=0)
         pull = np.zeros_like(vectors)
-        for f, width in enumerate(WIDTHS if len(used) else ()):
+        for f, width in enumerate(WIDTHS if len(vectors) else ()):
             cut = slice(f * FILTERS, (f + 1) * FILTERS)
             for k in range(width):
                 places = where[:, cut] + k
@@ -225,7 +292,7 @@ class Trainer:
             m += g * g
             p -= rate * 4 * g / (np.sqrt(m) + 1e-6)
         moved = np.nonzero(np.abs(pull).sum(axis=1))[0]
-        spread = buckets[used[moved]]
+        spread = batch.buckets[moved]
         flat = spread.reshape(-1)
         step = np.repeat(pull[moved], spread.shape[1], axis=0) / n
         add_rows(self.drift, flat, step * step)
@@ -308,18 +375,55 @@ def move(trainer: Trainer, sums: dict[int, np.ndarray]) -> None:
     trainer.model.shift += float(dense[at])
 
 
-def shard_moves(start: Trainer, rate: float, rows: Iterator[tuple[int, str, int]]) -> Moves:
-    """What one round of steps over ``rows`` (shard, text, label), in order of the shard, moves."""
-    moves, words = Moves(start), Words()
-    for _, own in groupby(rows, lambda r: r[0]):
-        end = copy.deepcopy(start)
+def coded_rows(rows: Iterator[tuple[int, str, int]]) -> Iterator[tuple[int, Coded]]:
+    """Batches of rows (shard, text, label), in order of the shard, each with its shard."""
+    words = Words()
+    for shard, own in groupby(rows, lambda r: r[0]):
         for batch in batched(own, BATCH):
             coded = words.codes([text for _, text, _ in batch])
-            end.step(coded, words.buckets, np.array([y for *_, y in batch], float), rate)
+            yield shard, Coded.of(coded, words.buckets, np.array([y for *_, y in batch], float))
+
+
+def coded_moves(start: Trainer, rate: float, batches: Iterator[tuple[int, Coded]]) -> Moves:
+    """What one round of steps over batches, in order of the shard, moves."""
+    moves = Moves(start)
+    for _, own in groupby(batches, lambda r: r[0]):
+        end = copy.deepcopy(start)
+        for _, batch in own:
+            end.step_by(batch, rate)
         moves.add(end)
     return moves
 
 
+def shard_moves(start: Trainer, rate: float, rows: Iterator[tuple[int, str, int]]) -> Moves:
+    """What one round of steps over ``rows`` (shard, text, label), in order of the shard, moves."""
+    return coded_moves(start, rate, coded_rows(rows))
+
+
+def coded_table(rows: DataFrame) -> DataFrame:
+    """``shard, places, sizes, buckets, labels``: the batches of a table as ``fit_shards`` reads it, once for all rounds."""
+    ship(rows.sparkSession)
+    types = pa.schema([("shard", pa.int32()), *[(c, pa.binary()) for c in BATCHES[1:]]])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, batch in coded_rows(tuples(batches)):
+            yield pa.RecordBatch.from_pylist([dict(zip(BATCHES, [shard, *batch.row()], strict=True))], schema=types)
+
+    schema = "shard int, places binary, sizes binary, buckets binary, labels binary"
+    coded = rows.select("shard", "text", "toxic").mapInArrow(code, schema)
+    path = fresh_path(rows.sparkSession, "coded")
+    # One row group a file, so that reading splits no shard in two.
+    coded.write.option("parquet.block.size", WHOLE).parquet(path)
+    return rows.sparkSession.read.schema(coded.schema).parquet(path)
+
+
+def tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of record batches."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield tuple(c[k].as_py() for c in b.columns)
+
+
 def fit_shards(rows: DataFrame, share: float, seed: int = 1) -> Model:
     """Train on a written table ``shard, text, toxic``, whose files are in order of the shard."""
     spark = rows.sparkSession
@@ -327,7 +431,7 @@ def fit_shards(rows: DataFrame, share: float, seed: int = 1) -> Model:
     trainer = Trainer(Model.new(seed))
     trainer.model.shift = float(np.log(share / (1 - share)))
     # A task adds its shards up itself, so what is sent grows with the cores, not with the rows.
-    tasks = rows.coalesce(spark.sparkContext.defaultParallelism)
+    tasks = coded_table(rows).coalesce(spark.sparkContext.defaultParallelism)
     schema = "block int, sums binary"
 
     def added(key: tuple, table: pa.Table) -> pa.Table:
@@ -339,13 +443,13 @@ def fit_shards(rows: DataFrame, share: float, seed: int = 1) -> Model:
         rate = RATE / (1 + epoch)
 
         def round_of(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
-            each = (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True))
-            moves = shard_moves(pickle.loads(shared.value), rate, each)
+            each = ((shard, Coded.from_row(*parts)) for shard, *parts in tuples(batches))
+            moves = coded_moves(pickle.loads(shared.value), rate, each)
             if moves.shards:
                 blocks, sums = zip(*moves.rows(), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(sums, pa.binary())], schema=SUM_TYPES)
 
-        parts = tasks.select("shard", "text", "toxic").mapInArrow(round_of, schema)
+        parts = tasks.select(*BATCHES).mapInArrow(round_of, schema)
         sums = parts.groupBy("block").applyInArrow(added, schema).collect()
         move(trainer, {r["block"]: np.frombuffer(r["sums"], np.float64) for r in sums})
         shared.destroy()
@@ -353,38 +457,37 @@ def fit_shards(rows: DataFrame, share: float, seed: int = 1) -> Model:
 
 
 class Scorer:
-    """A model with a bounded store of words' rows."""
+    """Scores texts by a model, some at a time: each of their distinct words is looked at once."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((STORED, sum(WIDTHS) * FILTERS), np.float32)
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        found = list(map(self.known.get, words))
-        if None in found:
-            missing = list({w for w, at in zip(words, found, strict=True) if at is None})
-            rows = self.model.rows(np.array([features(w) for w in missing], np.int64))
-            if len(self.known) + len(missing) > STORED:
-                self.known.clear()
-                if len(set(words)) > STORED:  # one very long text
-                    place = {w: i for i, w in enumerate(dict.fromkeys(words))}
-                    every = self.model.rows(np.array([features(w) for w in place], np.int64))
-                    return every[[place[w] for w in words]]
-                return self.rows(words)
-            first = len(self.known)
-            self.table[first : first + len(missing)] = rows
-            self.known.update((w, first + i) for i, w in enumerate(missing))
-            found = list(map(self.known.get, words))
-        return self.table[found]
+
+    def scores(self, texts: Iterable[str]) -> Iterator[float]:
+        words: list[str] = []
+        sizes: list[int] = []
+        for text in texts:
+            found = words_in(text)
+            words += found
+            sizes.append(len(found))
+            if len(words) >= GROUP or len(sizes) >= GROUP:
+                yield from self.scores_of(words, sizes)
+                words, sizes = [], []
+        yield from self.scores_of(words, sizes)
+
+    def scores_of(self, words: list[str], sizes: list[int]) -> Iterator[float]:
+        """The scores of texts of so many words each."""
+        coded = pa.array(words, pa.large_string()).dictionary_encode()
+        table, places, at = self.model.rows(features_of(coded.dictionary)), coded.indices.to_numpy(), 0
+        for n in sizes:
+            yield logistic(self.model.logit(self.model.pooled_from(table, places[at : at + n])[0]))
+            at += n
 
     def score(self, text: str) -> float:
-        words = words_in(text)
-        rows = self.rows(words) if words else self.table[:0]
-        return logistic(self.model.logit(self.model.pooled(rows)[0]))
+        return next(self.scores([text]))
 
 
 SUM_TYPES = pa.schema([("block", pa.int32()), ("sums", pa.binary())])
+BATCHES = ["shard", "places", "sizes", "buckets", "labels"]
 
 
 _scorers: dict[int, Scorer] = {}
@@ -536,7 +639,7 @@ def scores(model: Model, rows: DataFrame):
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
         scorer = scorer_of(shared.value)
-        return pa.array([scorer.score(x.as_py()) for x in texts], pa.float64())
+        return pa.array(scorer.scores(x.as_py() for x in texts), pa.float64())
 
     return score
 
